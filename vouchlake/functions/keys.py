@@ -10,22 +10,22 @@ from .canon import as_col
 from .fixed import KEY_WEIGHTS
 
 
-def _remainder(stem: Column) -> Column:
-    weighted = [F.substring(stem, i + 1, 1).try_cast("int") * w for i, w in enumerate(KEY_WEIGHTS)]
-    return F.lit(11) - reduce(lambda a, b: a + b, weighted) % 11
+def _check_char(stem: Column) -> Column:
+    """Check character of an eight-digit stem; 'X' where no digit exists."""
+    weighted = [(F.ascii(F.substring(stem, i + 1, 1)) - 48) * w for i, w in enumerate(KEY_WEIGHTS)]
+    return F.substring(F.lit("0X987654321"), reduce(lambda a, b: a + b, weighted) % 11 + 1, F.lit(1))
 
 
 def check_digit(stem) -> Column:
-    """Check digit of an eight-digit stem; NULL when the stem has no valid key."""
-    rest = _remainder(as_col(stem))
-    return F.when(rest == 11, F.lit(0)).when(rest != 10, rest)
+    """Check digit of an eight-digit stem as text; NULL when the stem has no valid key."""
+    return F.nullif(_check_char(as_col(stem)), F.lit("X"))
 
 
 def is_valid_key(number) -> Column:
     number = as_col(number)
     stem = F.substring(number, 1, 8)
     shaped = number.rlike(r"\A[0-9]{9}\z")
-    return F.coalesce(shaped & (check_digit(stem) == F.substring(number, 9, 1).try_cast("int")), F.lit(False))
+    return F.coalesce(shaped & (_check_char(stem) == F.substring(number, 9, 1)), F.lit(False))
 
 
 def validate_keys(df: DataFrame, column: str = "organisation_number") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vouchlake.functions.canon import computed
 from vouchlake.functions.keys import check_digit
 
 QUERIES: dict = {}
@@ -48,7 +49,8 @@ def registry_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
     k = F.col("c_custkey")
-    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("organisation_number", org_key(k))
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = computed(rows, organisation_number=org_key(k)).filter(F.col("organisation_number").isNotNull())
     body = F.to_json(
         F.struct(
             F.when(k % 97 == 0, F.lit("999999999")).otherwise(F.col("organisation_number")).alias("organisasjonsnummer"),
@@ -65,10 +67,10 @@ def registry_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(k % 5 != 0, F.concat(F.lit("www."), F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("-"))), F.lit(".example.com"))).alias("hjemmeside"),
         )
     )
-    return rows.filter(F.col("organisation_number").isNotNull()).select(
+    return computed(rows, body=body).select(
         "organisation_number",
         k.alias("k"),
-        body.alias("body"),
+        "body",
         F.concat(F.lit("https://registry.example.org/entities/"), F.col("organisation_number")).alias("source_url"),
         F.lit("2024-01-16T00:00:00+00:00").alias("retrieved_at"),
     )

@@ -71,7 +71,7 @@ def main(argv):
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     wanted = argv[1:]
     spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = duck(sf_dir)
     bad = 0
     oracle = entry.oracle_sql()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Unicode whitespace plus the separators Python also treats as blank.
 BLANK = r"(?U)[\s\x1c-\x1f]+"
@@ -12,6 +12,17 @@ def as_col(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once per row.
+
+    A one-element generator stands between the expressions and later filters, so
+    Catalyst cannot copy a long expression into every place that reads the column.
+    """
+    fresh = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(fresh)))
+
+
 def canonical_json(text) -> Column:
     """Sorted keys, compact, NULL for anything that is not strict JSON."""
     return F.to_json(F.try_parse_json(as_col(text)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vouchlake.functions import fixed
-from vouchlake.functions.canon import digest, is_missing_json
+from vouchlake.functions.canon import computed, digest, is_missing_json
 from vouchlake.functions.keys import is_valid_key
 
 
@@ -26,11 +26,8 @@ def is_object(variant: Column) -> Column:
 def gate_registry(df: DataFrame, body: str = "body") -> DataFrame:
     """A record is used only when it is an object that names the requested key."""
     v = F.col("_v")
-    parsed = (
-        df.withColumn("_v", F.try_parse_json(F.col(body).cast("string")))
-        .withColumn("_number", node_json(v, "$.organisasjonsnummer"))
-        .withColumn("_name", unquoted(node_json(v, "$.navn")))
-    )
+    parsed = computed(df, _v=F.try_parse_json(F.col(body).cast("string")))
+    parsed = computed(parsed, _number=node_json(v, "$.organisasjonsnummer"), _name=unquoted(node_json(v, "$.navn")))
     name = F.col("_name")
     named = F.col("_number") == F.concat(F.lit('"'), F.col("organisation_number"), F.lit('"'))
     error = (
@@ -40,31 +37,33 @@ def gate_registry(df: DataFrame, body: str = "body") -> DataFrame:
         .when(~F.coalesce(named, F.lit(False)), F.lit("registry_identity_mismatch"))
         .when(F.coalesce(F.trim(name) == "", F.lit(True)), F.lit("ValueError"))
     )
-    return (
-        parsed.withColumn("error", error)
-        .withColumn(
-            "state",
-            F.when(F.col("error").isNull(), "available")
-            .when(F.col("error") == "registry_identity_mismatch", "ambiguous")
-            .otherwise("failed"),
-        )
-        .withColumn("legal_name", F.when(F.col("error").isNull(), name))
-        .withColumn("record", v)
-        .drop("_v", "_number", "_name")
+    gated = computed(parsed, error=error)
+    gated = computed(
+        gated,
+        state=F.when(F.col("error").isNull(), "available")
+        .when(F.col("error") == "registry_identity_mismatch", "ambiguous")
+        .otherwise("failed"),
+        legal_name=F.when(F.col("error").isNull(), name),
+        record=v,
     )
+    return gated.drop("_v", "_number", "_name")
 
 
 def gate_confirmed(df: DataFrame) -> DataFrame:
     """An employee count needs an exact true flag; an impossible count fails the row."""
     _, count_key, flag_key = fixed.EMPLOYEE_FIELD
-    flag = F.coalesce(node_json(F.col("record"), f"$.{flag_key}") == "true", F.lit(False))
-    count = node_json(F.col("record"), f"$.{count_key}")
-    broken = flag & ~is_missing_json(count) & ~count.rlike(r"\A[0-9]+\z") & (F.col("state") == "available")
-    return (
-        df.withColumn("count_confirmed", flag)
-        .withColumn("error", F.when(broken, F.lit("ValueError")).otherwise(F.col("error")))
-        .withColumn("state", F.when(broken, F.lit("failed")).otherwise(F.col("state")))
+    df = computed(
+        df,
+        count_confirmed=F.coalesce(node_json(F.col("record"), f"$.{flag_key}") == "true", F.lit(False)),
+        _count=node_json(F.col("record"), f"$.{count_key}"),
     )
+    count = F.col("_count")
+    broken = F.col("count_confirmed") & ~is_missing_json(count) & ~count.rlike(r"\A[0-9]+\z") & (F.col("state") == "available")
+    return computed(
+        df,
+        error=F.when(broken, F.lit("ValueError")).otherwise(F.col("error")),
+        state=F.when(broken, F.lit("failed")).otherwise(F.col("state")),
+    ).drop("_count")
 
 
 def registry_facts(df: DataFrame) -> DataFrame:
@@ -93,9 +92,7 @@ def registry_facts(df: DataFrame) -> DataFrame:
         )
     )
     evidence_id = F.sha2(F.col("body"), 256)
-    rows = gated.withColumn("evidence_id", evidence_id).withColumn(
-        "effective", unquoted(node_json(record, f"$.{fixed.EMPLOYEE_DATE_KEY}"))
-    )
+    rows = computed(gated, evidence_id=evidence_id, effective=unquoted(node_json(record, f"$.{fixed.EMPLOYEE_DATE_KEY}")))
     rows = rows.select("organisation_number", "legal_name", "evidence_id", "effective", F.explode(F.array(*cells)).alias("c"))
     missing = is_missing_json("c.value_json")
     ok = F.col("c.confirmed") & ~missing
@@ -128,7 +125,7 @@ def registry_candidates(df: DataFrame) -> DataFrame:
     gated = gate_confirmed(gate_registry(df)).filter(F.col("state") == "available")
     home = unquoted(node_json(F.col("record"), "$.hjemmeside"))
     return (
-        gated.withColumn("value", home)
+        computed(gated, value=home)
         .filter(F.trim("value") != "")
         .select(
             "organisation_number",

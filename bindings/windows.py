@@ -133,9 +133,9 @@ def _w11(spark, d):
 
 @query(
     "w12_first_verified",
-    """WITH b AS (SELECT *, min(CASE WHEN l_returnflag = 'A' THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS best,
-      row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) AS rn FROM lineitem)
-    SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = best THEN 'verified' WHEN best IS NULL OR l_linenumber < best THEN 'rejected' ELSE 'unverified' END AS status FROM b WHERE rn = 1""",
+    """WITH u AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) = 1),
+    b AS (SELECT *, min(CASE WHEN l_returnflag = 'A' THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS best FROM u)
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = best THEN 'verified' WHEN best IS NULL OR l_linenumber < best THEN 'rejected' ELSE 'unverified' END AS status FROM b""",
 )
 def _w12(spark, d):
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", F.lit("unverified").alias("status"))

@@ -58,8 +58,9 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if sorted(cols) != sorted(df.columns):
         return False, len(got), f"columns {sorted(df.columns)} vs {sorted(cols)}"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:2]
-        lost = [r for r in want if r not in set(got)][:2]
+        have, need = set(got), set(want)
+        extra = [r for r in got if r not in need][:2]
+        lost = [r for r in want if r not in have][:2]
         return False, len(got), f"rows {len(got)} vs {len(want)}\n   cols {sorted(cols)}\n   spark {extra}\n   sql   {lost}"[:1800]
     return True, len(got), ""
 

@@ -19,7 +19,7 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     Catalyst cannot copy a long expression into every place that reads the column.
     """
     fresh = F.struct(*[c.alias(n) for n, c in columns.items()])
-    kept = [c for c in df.columns if c not in columns]
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(F.array(fresh)))
 
 

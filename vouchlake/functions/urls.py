@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .canon import as_col, fold
+from .canon import as_col, computed, fold
 from . import fixed
 
 PARTS = r"(?s)\A([a-zA-Z][a-zA-Z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?\z"
@@ -26,86 +26,62 @@ def _ascii_host(hosts: pd.Series) -> pd.Series:
     return hosts.map(one)
 
 
-def _prefixed(value: Column) -> Column:
-    value = F.regexp_replace(value, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
-    return F.when(F.contains(value, F.lit("://")), value).otherwise(F.concat(F.lit("https://"), value))
+EDGES = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 
-def _host_port(full: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(full, PARTS, 2), r"\A.*@", "")
-
-
-def raw_host(full: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_replace(_host_port(full), r":[0-9]*\z", "")), r"\.+\z", "")
-
-
-def normal_url(value, host: Column | None = None) -> Column:
-    """STRUCT<url, host, path, query, reject>; exactly one of url and reject is set.
+def normalize_urls(df: DataFrame, column: str, idna: bool = False) -> DataFrame:
+    """P5: add norm_url, host, path, query and reject_reason.
 
-    ``host`` overrides the parsed host (used for internationalised names).
+    Exactly one of norm_url and reject_reason is set. With ``idna`` only hosts that
+    hold non-ASCII letters travel to Python.
     """
-    value = as_col(value)
-    full = _prefixed(value)
-    scheme = F.lower(F.regexp_extract(full, PARTS, 1))
-    authority = F.regexp_extract(full, PARTS, 2)
-    user = F.regexp_extract(authority, r"\A(.*)@", 1)
-    port = F.regexp_extract(_host_port(full), r":([^:\]]*)\z", 1)
-    host = F.coalesce(host, raw_host(full)) if host is not None else raw_host(full)
-    path = F.regexp_extract(full, PARTS, 3)
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    query = F.regexp_extract(full, PARTS, 4)
-    trimmed = F.regexp_replace(value, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    names = [c for c in df.columns if c not in ("norm_url", "host", "path", "query", "reject_reason")]
+    trimmed = F.regexp_replace(F.col(f"`{column}`"), EDGES, "")
+    out = computed(df.select(*names), _t=trimmed)
+    out = computed(out, _full=F.when(F.contains("_t", F.lit("://")), F.col("_t")).otherwise(F.concat(F.lit("https://"), "_t")))
+    out = computed(
+        out,
+        _scheme=F.lower(F.regexp_extract("_full", PARTS, 1)),
+        _auth=F.regexp_extract("_full", PARTS, 2),
+        _path=F.regexp_extract("_full", PARTS, 3),
+        _query=F.regexp_extract("_full", PARTS, 4),
+    )
+    out = computed(
+        out, _user=F.regexp_extract("_auth", r"\A(.*)@", 1), _hp=F.regexp_replace("_auth", r"\A.*@", "")
+    )
+    out = computed(
+        out,
+        _port=F.regexp_extract("_hp", r":([^:\]]*)\z", 1),
+        _host=F.regexp_replace(F.lower(F.regexp_replace("_hp", r":[0-9]*\z", "")), r"\.+\z", ""),
+    )
+    if idna:
+        foreign = F.col("_host").rlike(r"[^\x00-\x7f]")
+        out = out.withColumn("_ascii", _ascii_host(F.when(foreign, F.col("_host"))))
+        out = computed(out, _host=F.when(foreign, F.coalesce("_ascii", F.lit(""))).otherwise(F.col("_host"))).drop("_ascii")
+    host = F.col("_host")
     reject = (
-        F.when(value.isNull() | (trimmed == ""), F.lit("missing_url"))
-        .when(
-            (scheme != "https") | ~user.isin("", ":") | ~F.coalesce(port.isin("", "443"), F.lit(True)),
-            F.lit("https_public_urls_only"),
-        )
+        F.when(F.col("_t").isNull() | (F.col("_t") == ""), F.lit("missing_url"))
+        .when((F.col("_scheme") != "https") | ~F.col("_user").isin("", ":") | ~F.col("_port").isin("", "443"), F.lit("https_public_urls_only"))
         .when(
-            (host == "")
-            | full.rlike(r"[\x00-\x20]")
-            | F.contains(host, F.lit("%"))
-            | F.contains(full, F.lit("\\")),
+            (host == "") | F.col("_full").rlike(r"[\x00-\x20]") | F.contains(host, F.lit("%")) | F.contains("_full", F.lit("\\")),
             F.lit("invalid_url"),
         )
         .when(host.rlike(rf"\A(?:{OCTET}\.){{3}}{OCTET}\z|\A\["), F.lit("ip_literals_not_allowed"))
-        .when(
-            ~F.contains(host, F.lit(".")) | host.rlike(r"\.(?:local|localhost|internal|invalid)\z"),
-            F.lit("non_public_hostname"),
-        )
+        .when(~F.contains(host, F.lit(".")) | host.rlike(r"\.(?:local|localhost|internal|invalid)\z"), F.lit("non_public_hostname"))
         .when((F.length(host) > 253) | ~host.rlike(rf"\A{LABEL}(?:\.{LABEL})*\z"), F.lit("invalid_hostname"))
     )
-    url = F.concat(F.lit("https://"), host, path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
-    ok = reject.isNull()
-    return F.struct(
-        F.when(ok, url).alias("url"),
+    out = computed(out, reject_reason=reject)
+    ok = F.col("reject_reason").isNull()
+    path = F.when(F.col("_path") == "", F.lit("/")).otherwise(F.col("_path"))
+    tail = F.when(F.col("_query") == "", F.lit("")).otherwise(F.concat(F.lit("?"), "_query"))
+    return out.select(
+        *[F.col(f"`{c}`") for c in names],
+        F.when(ok, F.concat(F.lit("https://"), host, path, tail)).alias("norm_url"),
         F.when(ok, host).alias("host"),
         F.when(ok, path).alias("path"),
-        F.when(ok, query).alias("query"),
-        reject.alias("reject"),
-    )
-
-
-def normalize_urls(df: DataFrame, column: str, idna: bool = False) -> DataFrame:
-    """P5: add url, host, path, query and reject_reason.
-
-    With ``idna`` only hosts that hold non-ASCII letters travel to Python.
-    """
-    host = None
-    if idna:
-        parsed = raw_host(_prefixed(F.col(column)))
-        df = df.withColumn("_ascii", _ascii_host(F.when(parsed.rlike(r"[^\x00-\x7f]"), parsed)))
-        host = F.col("_ascii")
-    out = df.withColumn("_u", normal_url(column, host))
-    out = out.select(
-        *[c for c in df.columns if c != "_ascii"],
-        F.col("_u.url").alias("norm_url"),
-        F.col("_u.host").alias("host"),
-        F.col("_u.path").alias("path"),
-        F.col("_u.query").alias("query"),
-        F.col("_u.reject").alias("reject_reason"),
+        F.when(ok, F.col("_query")).alias("query"),
+        "reject_reason",
     )
-    return out
 
 
 def bare_host(host) -> Column:

@@ -69,15 +69,15 @@ SEARCH_QUERY_PATTERN = r"(?:^|&)(?:q|search|query)=[^&]+"
 PRIVATE_SUFFIXES = (".local", ".localhost", ".internal", ".invalid")
 
 LABELLED_NUMBER = (
-    r"(?i)\b(?:organisasjonsnummer|organisasjonsnr|org\.?\s*(?:nr|nummer)\.?)\s*[:.]?\s*"
+    r"(?iU)\b(?:organisasjonsnummer|organisasjonsnr|org\.?\s*(?:nr|nummer)\.?)\s*[:.]?\s*"
     r"(\d{3}[ .]?\d{3}[ .]?\d{3})(?!\d)"
 )
 GROUP_HEADING = r"\b(?:group|holding|konsern|konsernet)\b"
-GROUP_PHRASE = r"(?i)\b(?:group website|our subsidiaries|group companies|våre selskaper|konsernets nettside)\b"
+GROUP_PHRASE = r"(?iU)\b(?:group website|our subsidiaries|group companies|våre selskaper|konsernets nettside)\b"
 LEGAL_TERM = (
-    r"(?i)\b(?:lawsuit|litigation|sued|court proceedings|court case|legal proceedings|søksmål|rettssak|saksnummer)\b"
+    r"(?iU)\b(?:lawsuit|litigation|sued|court proceedings|court case|legal proceedings|søksmål|rettssak|saksnummer)\b"
 )
-CASE_REFERENCE = r"(?i)\b(?:case\s+(?:no\.?|number)|saksnummer)\s*[:#]?\s*([A-Z0-9][A-Z0-9./-]{2,79})"
+CASE_REFERENCE = r"(?iU)\b(?:case\s+(?:no\.?|number)|saksnummer)\s*[:#]?\s*([A-Z0-9][A-Z0-9./-]{2,79})"
 
 OWNER_TYPES = ("Organization", "Corporation", "LocalBusiness")
 JOB_TYPES = ("JobPosting", "https://schema.org/JobPosting", "http://schema.org/JobPosting")

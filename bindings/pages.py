@@ -9,7 +9,7 @@ from vouchlake.operators import identity, pages as P, walk
 from .common import key_sql, org_key, query, table
 
 CLEAN = r"trim(regexp_replace({}, '[\s\x{{1c}}-\x{{1f}}\p{{Z}}]+', ' ', 'g'))"
-STRIP = r"replace(regexp_replace(regexp_replace({}, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&amp;', '&')"
+STRIP = r"replace(replace(replace(replace(regexp_replace(regexp_replace({}, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 
 def clean(x):

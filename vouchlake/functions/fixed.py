@@ -93,3 +93,10 @@ JSON_BODY_LIMIT = 2_000_000
 HTML_BODY_LIMIT = 1_000_000
 QUERY_PRICE = 0.005
 REQUESTS_PER_INPUT = 20
+
+# HTML character references decoded natively; '&amp;' comes last. Any other one goes to Python.
+CHARACTER_REFERENCES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "middot": "·",
+    "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»",
+    "bull": "•", "euro": "€", "aring": "å", "Aring": "Å", "oslash": "ø", "Oslash": "Ø", "aelig": "æ", "AElig": "Æ", "amp": "&",
+}

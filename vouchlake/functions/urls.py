@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .canon import as_col, computed, fold
 from . import fixed
@@ -13,7 +13,7 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ascii_host(hosts: pd.Series) -> pd.Series:
     def one(host):
         if not host:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import html as _html
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from vouchlake.functions import fixed
 from vouchlake.functions.canon import BLANK, computed
 
 HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\z)"
@@ -17,7 +18,7 @@ TAG = (
 LD_SCRIPT = r"(?is)\A<script\b[^>]*\stype\s*=\s*[\"']?application/ld\+json[\"'\s>].*</script\s*>\z"
 HEADING = r"(?is)<(title|h1)\b[^>]*>(.*?)</\1\s*>"
 FIRST_HEADING = r"(?is)<(h1)\b[^>]*>(.*?)</\1\s*>"
-OTHER_REFERENCE = r"&(?!(?:amp|lt|gt|quot|apos|nbsp|#39);)[#A-Za-z]"
+OTHER_REFERENCE = rf"&(?!(?:{'|'.join(fixed.CHARACTER_REFERENCES)});)[#A-Za-z]"
 MAX_ARTICLES = 20
 MAX_LD_BLOCKS = 100
 
@@ -32,12 +33,13 @@ def attribute(tag: Column, name: str) -> Column:
 
 
 def _basic_unescape(text: Column) -> Column:
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    out = text
+    for name, char in fixed.CHARACTER_REFERENCES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _unescape(packs: pd.Series) -> pd.Series:
     one = lambda v: None if v is None else _html.unescape(v)
     return packs.map(lambda pack: None if pack is None else [[one(v) for v in group] for group in pack])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import gzip
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from vouchlake.functions.canon import as_col, computed
 from vouchlake.operators.registry_facts import unquoted
@@ -46,23 +49,21 @@ def read_inputs(spark: SparkSession, path: str) -> DataFrame:
     usual = [r["path"] for r in heads.filter(~(F.col("gz") & ~named_gz)).select("path").collect()]
     parts = []
     if usual:
-        text = spark.read.text(usual).select(F.col("value"), F.input_file_name().alias("file"))
-        parts.append(text.withColumn("seq", F.monotonically_increasing_id()))
+        text = spark.read.text(usual).select(
+            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")
+        )
+        parts.append(text)
     if odd:
         body = heads.filter(F.col("path").isin(odd)).select("path", _gunzip("content").alias("body"))
-        parts.append(body.select(F.posexplode(F.split("body", LINE_BREAK)).alias("seq", "value"), F.col("path").alias("file")).select("value", "file", F.col("seq").cast("bigint")))
+        lines = body.select("path", F.posexplode(F.split("body", LINE_BREAK)).alias("seq", "value"))
+        parts.append(lines.select("value", F.col("path").alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("seq").cast("bigint").alias("seq")))
     lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rows = parse_input_lines(lines, "value", ["file", "seq"])
-    return numbered(rows, ["file", "seq", "line_no"], "input_index").select("input_index", "organisation_number")
-
-
-def _gunzip(column: str) -> Column:
-    import gzip
-
-    import pandas as pd
+    # Splits of one file are ordered by their offset, lines of a split by their running id.
+    order = ["file", "block", "seq"]
+    rows = parse_input_lines(lines, "value", order)
+    return numbered(rows, [*order, "line_no"], "input_index").select("input_index", "organisation_number")
 
-    @F.pandas_udf("string")
-    def unpack(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: gzip.decompress(b).decode("utf-8"))
 
-    return unpack(column)
+@F.pandas_udf(T.StringType())
+def _gunzip(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda b: gzip.decompress(b).decode("utf-8"))

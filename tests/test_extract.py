@@ -17,10 +17,11 @@ def docs(spark, *bodies):
     return spark.createDataFrame(rows, "organisation_number string, evidence_id string, body string")
 
 
-def page(spark, html, url="https://nordlys.no/", kind=None, root=True):
+def page(spark, *htmls, url="https://nordlys.no/", kind=None, root=True):
+    """Parsed and proven pages; ``case`` is the position of the page in the arguments."""
     df = spark.createDataFrame(
-        [(ORG, NAME, url, root, "2024-01-16T00:00:00+00:00", html, kind)],
-        "organisation_number string, legal_name string, page_url string, is_root boolean, retrieved_at string, html string, kind string",
+        [(i, ORG, NAME, url, root, "2024-01-16T00:00:00+00:00", html, kind) for i, html in enumerate(htmls)],
+        "case int, organisation_number string, legal_name string, page_url string, is_root boolean, retrieved_at string, html string, kind string",
     )
     return identity.prove(walk.schema_nodes(P.page_features(computed(df, evidence_id=F.sha2("html", 256)))))
 
@@ -32,13 +33,12 @@ def test_registry_zero_and_false_are_facts(spark):
     assert facts["business_activity"].reason == "absent_in_registry_response" and facts["in_liquidation"].state == "not_available"
 
 
-@pytest.mark.parametrize("flag,count,state", [(True, -1, "failed"), (True, "4", "failed"), (False, -1, "available"), ("true", 5, "available")])
-def test_employee_gate(spark, flag, count, state):
-    rec = {"organisasjonsnummer": ORG, "navn": NAME, "harRegistrertAntallAnsatte": flag, "antallAnsatte": count}
-    row = R.gate_confirmed(R.gate_registry(docs(spark, rec))).first()
-    assert row.state == state
-    claims = R.unpivot_claims(docs(spark, rec)).filter("field = 'registered_employees'").count()
-    assert claims == 0
+def test_employee_gate(spark):
+    cases = [(True, -1, "failed"), (True, "4", "failed"), (False, -1, "available"), ("true", 5, "available")]
+    recs = docs(spark, *[{"organisasjonsnummer": ORG, "navn": NAME, "harRegistrertAntallAnsatte": f, "antallAnsatte": n} for f, n, _ in cases])
+    states = [r.state for r in R.gate_confirmed(R.gate_registry(recs)).orderBy("evidence_id").collect()]
+    assert states == [c[2] for c in cases]
+    assert R.unpivot_claims(recs).filter("field = 'registered_employees'").count() == 0
 
 
 def statement(**over):
@@ -57,15 +57,14 @@ def test_accounts_pointer_zero_and_boolean(spark):
     assert json.loads(got["annual_result"].value_json)["amount"] == -5.5
 
 
-@pytest.mark.parametrize(
-    "bad",
-    [
+BAD_STATEMENTS = [
         {"virksomhet": {"organisasjonsnummer": "999999999"}}, {"virksomhet": {"organisasjonsnummer": 923609016}}, {"valuta": " "}, {"valuta": "X" * 11}, {"regnskapstype": "ANNET"},
         {"regnskapsperiode": {"fraDato": "2024-01-01", "tilDato": "2023-12-31"}}, {"regnskapsperiode": {"fraDato": "2023-01-01"}}, {"regnskapsperiode": {"fraDato": "2023-13-01", "tilDato": "2023-12-31"}},
-    ],
-)
-def test_accounts_rejects(spark, bad):
-    assert X.extract_financials(docs(spark, [statement(**bad)])).count() == 0
+    ]
+
+
+def test_accounts_rejects(spark):
+    assert X.extract_financials(docs(spark, *[[statement(**bad)] for bad in BAD_STATEMENTS])).count() == 0
 
 
 def test_accounts_conflicts_vanish_and_copies_collapse(spark):
@@ -112,20 +111,20 @@ def test_identity_offsets_are_code_points(spark):
     assert text[row.identity_span.start:row.identity_span.end] == "Org.nr: 923 609 016"
 
 
-@pytest.mark.parametrize(
-    "html,identity_ok,owner_ok,social_ok",
-    [
+GATES = [
         (f"<h1>{NAME}</h1>", False, True, True), (f"<h1>{NAME}</h1> org nr 974760673", False, False, False), (f"<h1>{NAME} Holding</h1><p>{NAME}", False, False, False),
         (f"<p>{NAME} is one of our subsidiaries", False, False, False), (f"<p>Xnordlys verft asx", False, False, False), (f"<p>nordlys   VERFT as", False, True, False),
         (f"<script>org nr 974760673</script><p>{NAME} org nr {ORG}", True, True, True),
         (f'<script type="application/ld+json">{{"@type":"WebSite","publisher":{{"name":"Morselskap AS"}}}}</script><p>{NAME} org nr {ORG}', True, False, True),
         (f'<script type="application/ld+json">{{"@type":"schema:LocalBusiness","name":"x","legalName":"{NAME}","vatID":null}}</script><p>{NAME}', False, True, False),
         (f'<script type="application/ld+json">{{"taxID":"{ORG}","name":"{NAME}","legalName":null}}</script><p>{NAME}', False, False, False),
-    ],
-)
-def test_identity_gates(spark, html, identity_ok, owner_ok, social_ok):
-    row = page(spark, html).first()
-    assert (row.identity_span is not None, row.owner_span is not None, row.social_span is not None) == (identity_ok, owner_ok, social_ok)
+    ]
+
+
+def test_identity_gates(spark):
+    rows = page(spark, *[c[0] for c in GATES]).select("case", "identity_span", "owner_span", "social_span").collect()
+    got = {r.case: (r.identity_span is not None, r.owner_span is not None, r.social_span is not None) for r in rows}
+    assert got == {i: c[1:] for i, c in enumerate(GATES)}
 
 
 JOB = {
@@ -134,20 +133,19 @@ JOB = {
 }
 
 
-@pytest.mark.parametrize(
-    "change,n",
-    [
+JOBS = [
         ({}, 1), ({"validThrough": None}, 0), ({"validThrough": "2024-01-16"}, 1), ({"validThrough": "2024-01-15"}, 0), ({"datePosted": "2024-01-17"}, 0), ({"datePosted": "2024-01-02T10:00"}, 0),
         ({"hiringOrganization": {"name": NAME}}, 1), ({"hiringOrganization": {"name": NAME, "taxID": "1"}}, 0), ({"title": "x" * 301}, 0), ({"url": "https://other.no/"}, 0), ({"description": "kort"}, 0), ({"@type": ["JobPosting"]}, 1),
-    ],
-)
-def test_jobs(spark, change, n):
-    job = {**JOB, **change}
-    html = f'<script type="application/ld+json">{json.dumps(job)}</script><p>{NAME} org nr {ORG}<p>{JOB["description"]}'
-    rows = X.extract_jobs(page(spark, html, "https://nordlys.no/jobb/1", root=False)).collect()
-    assert len(rows) == n
-    if n:
-        assert rows[0].subject == 'jobs:https://nordlys.no/jobb/1:{"value":"77"}'
+    ]
+
+
+def test_jobs(spark):
+    html = lambda job: f'<script type="application/ld+json">{json.dumps(job)}</script><p>{NAME} org nr {ORG}<p>{JOB["description"]}'
+    pages = page(spark, *[html({**JOB, **c}) for c, _ in JOBS], url="https://nordlys.no/jobb/1", root=False)
+    ids = {r.evidence_id: r.case for r in pages.select("evidence_id", "case").collect()}
+    rows = X.extract_jobs(pages).collect()
+    assert sorted(ids[r.evidence_id] for r in rows) == [i for i, (_, n) in enumerate(JOBS) if n]
+    assert {r.subject for r in rows} == {'jobs:https://nordlys.no/jobb/1:{"value":"77"}'}
 
 
 def test_old_job_rules_drop_an_ambiguous_identifier(spark):
@@ -161,14 +159,14 @@ def test_old_job_rules_drop_an_ambiguous_identifier(spark):
 def test_conflicting_dates_stop_news_and_reports(spark):
     body = f"<article><h1>Ny kran på kaien i nord</h1><p>{NAME} org nr {ORG} ble saksøkt, en lawsuit om kranen som er større enn kirken.</p></article>"
     meta = lambda *days: "".join(f'<meta property="article:published_time" content="{d}">' for d in days)
-    url = "https://nordlys.no/sak/1"
-    assert X.extract_news(page(spark, meta("2024-01-05") + body, url)).count() == 1
-    assert X.extract_news(page(spark, meta("2024-01-05", "2024-01-06") + body, url)).count() == 0
-    assert X.extract_news(page(spark, body, url)).count() == 0
-    filing = X.extract_legal(page(spark, meta("2024-01-05") + body, url, kind="filing")).first()
-    assert json.loads(filing.value_json)["court_outcome"] is None and json.loads(filing.value_json)["case_reference"] is None
-    assert X.extract_legal(page(spark, meta("2024-01-05") + body, url, kind="news")).count() == 0
-    assert X.extract_legal(page(spark, meta("2024-02-05") + body, url, kind="filing")).count() == 0
+    pages = page(spark, meta("2024-01-05") + body, meta("2024-01-05", "2024-01-06") + body, body, meta("2024-02-05") + body, url="https://nordlys.no/sak/1", kind="filing")
+    ids = {r.evidence_id: r.case for r in pages.select("evidence_id", "case").collect()}
+    assert [ids[r.evidence_id] for r in X.extract_news(pages).collect()] == [0]
+    filings = X.extract_legal(pages).collect()
+    assert [ids[r.evidence_id] for r in filings] == [0]
+    value = json.loads(filings[0].value_json)
+    assert value["court_outcome"] is None and value["case_reference"] is None
+    assert X.extract_legal(pages.withColumn("kind", F.lit("news"))).count() == 0
 
 
 def test_robots_first_match(spark):

@@ -86,7 +86,7 @@ def retry_after_seconds(header: Column, now: Column) -> Column:
     )
     until = F.unix_micros(dated) / 1e6 - now
     usable = number.isNotNull() & ~F.isnan(number) & (number >= 0) & (number < float("inf"))
-    return F.when(usable, number).when(number.isNotNull(), 60.0).otherwise(F.coalesce(F.greatest(until, F.lit(0.0)), F.lit(60.0)))
+    return F.when(usable, number).when(number.isNotNull(), 60.0).when(until.isNotNull(), F.greatest(until, F.lit(0.0))).otherwise(60.0)
 
 
 def match_positions(expected: DataFrame, actual: DataFrame, index: str, value: str) -> DataFrame:

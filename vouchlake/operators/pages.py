@@ -23,6 +23,13 @@ MAX_ARTICLES = 20
 MAX_LD_BLOCKS = 100
 
 
+def open_tag(name: str) -> str:
+    """Start tags of one element; a '>' inside quotes does not end them."""
+    return (
+        rf"(?is)<{name}\s[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>|<{name}\b[^>]*>"
+    )
+
+
 def strip_tags(markup) -> Column:
     return F.regexp_replace(markup, TAG, " ")
 
@@ -77,19 +84,19 @@ def page_features(pages: DataFrame, html: str = "html") -> DataFrame:
     blocks = F.filter(F.coalesce("_hidden", F.expr("cast(array() as array<string>)")), lambda t: t.rlike(LD_SCRIPT))
     bodies = F.transform(F.slice(blocks, 1, MAX_LD_BLOCKS), lambda t: F.regexp_extract(t, r"(?is)\A<script\b[^>]*>(.*)</script\s*>\z", 1))
     all_of = lambda pattern, group=0: F.regexp_extract_all("_visible", F.lit(pattern), F.lit(group))
-    p = computed(p, _articles=_articles(F.col("_visible")), _metas=all_of(r"(?is)<meta\b[^>]*>"), json_ld=F.transform(bodies, lambda b: F.to_json(F.try_parse_json(b))))
+    p = computed(p, _articles=_articles(F.col("_visible")), _metas=all_of(open_tag("meta")), json_ld=F.transform(bodies, lambda b: F.to_json(F.try_parse_json(b))))
     meta_key = lambda t, a, b: F.lower(F.coalesce(F.nullif(attribute(t, a), F.lit("")), attribute(t, b)))
     content = lambda t: attribute(t, "content")
     dated = F.filter("_metas", lambda t: meta_key(t, "property", "name").isin("article:published_time", "datepublished"))
     described = F.filter("_metas", lambda t: meta_key(t, "name", "property").isin("description", "og:description", "twitter:description"))
     pack = F.array(
         F.array(strip_tags(F.col("_visible"))),
-        F.filter(F.transform(all_of(r"(?is)<a\s[^>]*>"), lambda t: attribute(t, "href")), lambda h: h != ""),
+        F.filter(F.transform(all_of(open_tag("a")), lambda t: attribute(t, "href")), lambda h: h != ""),
         F.transform(all_of(HEADING, 2), lambda h: strip_tags(h)),
         F.transform(F.slice("_articles", 1, MAX_ARTICLES), lambda a: strip_tags(a)),
         F.flatten(F.transform("_articles", lambda a: F.transform(F.regexp_extract_all(a, F.lit(FIRST_HEADING), F.lit(2)), lambda h: strip_tags(h)))),
         F.filter(
-            F.flatten(F.transform("_articles", lambda a: F.transform(F.regexp_extract_all(a, F.lit(r"(?is)<time\b[^>]*>"), F.lit(0)), lambda t: attribute(t, "datetime")))),
+            F.flatten(F.transform("_articles", lambda a: F.transform(F.regexp_extract_all(a, F.lit(open_tag("time")), F.lit(0)), lambda t: attribute(t, "datetime")))),
             lambda v: v != "",
         ),
         F.transform(dated, content),

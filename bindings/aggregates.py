@@ -112,7 +112,7 @@ def _a8(spark, d):
 )
 def _a9(spark, d):
     o = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").cast("bigint").alias("y"), "o_orderkey", "o_orderpriority")
-    return A.drop_conflicts(o, ["o_custkey", "y"], "o_orderpriority", [F.col("o_orderkey")])
+    return A.drop_conflicts(o, ["o_custkey", "y"], "o_orderpriority", ["o_orderkey"])
 
 
 @query("a10_distinct_first", "SELECT min(doc_id) AS doc_id, sha256(text) AS hash FROM documents GROUP BY 2")

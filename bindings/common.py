@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vouchlake.functions.canon import computed
 from vouchlake.functions.keys import check_digit
+from vouchlake.session import spread
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -46,7 +47,7 @@ def registry_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     a blank name (89), no address (7), no activity (11), an unconfirmed (3) or
     impossible (113) employee count, no homepage (5).
     """
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     n = table(spark, sf_dir, "nation")
     k = F.col("c_custkey")
     rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))

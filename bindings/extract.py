@@ -6,6 +6,7 @@ from vouchlake.functions import urls
 from vouchlake.functions.canon import computed, json_text
 from vouchlake.operators import extract as X
 from vouchlake.operators import walk
+from vouchlake.session import spread
 
 from .common import key_sql, org_key, query, table
 from .derive import STATEMENTS_SQL, statements
@@ -22,7 +23,7 @@ def account_responses(spark, d):
     Status P repeats 1998 with another amount when the key divides by 3 (a conflict);
     status F is repeated unchanged.
     """
-    st = _with_org(statements(spark, d), "o_custkey")
+    st = _with_org(spread(statements(spark, d), scan=False), "o_custkey")
     kind = F.when(F.col("report_type") == "F", "SELSKAP").when(F.col("report_type") == "O", "KONSERN").otherwise("SELSKAP")
     end = F.when(F.col("report_type") == "P", F.date_add("period_end", 0)).otherwise(F.date_sub("period_end", 1))
     rec = lambda cents: F.to_json(F.struct(
@@ -108,7 +109,7 @@ def _x6(spark, d):
 
 def nested_props(spark, d):
     """events.props wrapped in lists and graphs."""
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    e = spread(table(spark, d, "events")).select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
     ld = F.concat(F.lit('{"@type":"Top","@graph":[{"@type":["'), "event_type", F.lit('","X"],"k":'), "k", F.lit(',"a/b":{"~c":[true,"'), F.col("event_type"), F.lit('"]}},[{"@type":"http://schema.org/'), "event_type", F.lit('"}],7]}'))
     return computed(e, ld=ld)
 
@@ -157,7 +158,7 @@ def _x11(spark, d):
 
 def owned_page(spark, d, variants, head, body, path="/detail/1"):
     """Pages owned by a labelled number, with a head and body per situation (customer id mod variants)."""
-    c = _with_org(table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("legal_name")), "c_custkey")
+    c = _with_org(spread(table(spark, d, "customer")).select("c_custkey", F.col("c_name").alias("legal_name")), "c_custkey")
     c = computed(c, v=F.col("c_custkey") % variants)
     html = F.concat(F.lit("<html><head><title>Page</title>"), head(c), F.lit("</head><body><p>"), F.col("legal_name"), F.lit(" org nr "), F.col("organisation_number"), F.lit("</p>"), body(c), F.lit("</body></html>"))
     url = F.concat(F.lit("https://c"), F.col("c_custkey").cast("string"), F.lit(".example.com"), F.lit(path) if isinstance(path, str) else path(c))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vouchlake.functions.canon import computed
 from vouchlake.operators import extract as X
+from vouchlake.session import spread
 from vouchlake.operators import identity, pages as P, walk
 
 from .common import key_sql, org_key, query, table
@@ -23,7 +24,7 @@ def clean(x):
       len(regexp_extract_all(html, '<a href="'))::BIGINT AS n_links, 0::BIGINT AS n_ld FROM pages""",
 )
 def _x7(spark, d):
-    p = P.page_features(table(spark, d, "pages"))
+    p = P.page_features(spread(table(spark, d, "pages")))
     return p.select(
         "page_id", F.sha2("text", 256).alias("text_hash"), F.element_at("article_texts", 1).alias("article"), F.element_at("article_headings", 1).alias("article_heading"),
         F.element_at("headings", 1).alias("title"), F.size("links").cast("bigint").alias("n_links"), F.size("json_ld").cast("bigint").alias("n_ld"),
@@ -42,7 +43,7 @@ def finish(spark, rows):
 
 def company_pages(spark, d):
     """One page per valid customer in twelve situations (customer id mod 12)."""
-    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("legal_name"))
+    c = spread(table(spark, d, "customer")).select("c_custkey", F.col("c_name").alias("legal_name"))
     c = computed(c, organisation_number=org_key(F.col("c_custkey")), v=F.col("c_custkey") % 12).filter("organisation_number is not null")
     name, org, v = F.col("legal_name"), F.col("organisation_number"), F.col("v")
     h1 = F.when(v.isin(3, 8, 9), name).when(v == 10, F.concat(name, F.lit(" Group"))).otherwise("Home page")

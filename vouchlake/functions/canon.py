@@ -29,8 +29,9 @@ def canonical_json(text) -> Column:
 
 
 def json_text(value) -> Column:
-    """A plain column value written as canonical JSON."""
-    return F.regexp_extract(F.to_json(F.struct(as_col(value).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    """A plain column value written as canonical JSON; NULL stays NULL."""
+    text = F.regexp_extract(F.to_json(F.struct(as_col(value).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    return F.when(as_col(value).isNotNull(), text)
 
 
 def digest(*parts) -> Column:

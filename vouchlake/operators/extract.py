@@ -64,7 +64,7 @@ def account_statements(responses: DataFrame, body: str = "body") -> DataFrame:
     print_of = F.sha2(F.to_json(F.struct("period_start", "currency", F.transform("metrics", lambda m: F.struct(m["metric"], m["amount_json"])).alias("m"))), 256)
     rows = computed(rows, _print=print_of)
     keys = ["organisation_number", "evidence_id", "owner", "report_type", "period_end"]
-    kept = drop_conflicts(rows.drop("node", "node_json"), keys, "_print", [F.col("ord").desc()])
+    kept = drop_conflicts(rows.drop("node", "node_json"), keys, "_print", ["ord"], last=True)
     return kept.drop("_print", "raw_currency")
 
 
@@ -236,7 +236,7 @@ def extract_jobs(pages: DataFrame, version: int = 2) -> DataFrame:
     fallback = F.concat(F.lit('{"datePosted":'), json_text("posted"), F.lit(',"jobLocation":'), place, F.lit(',"title":'), json_text("title"), F.lit("}"))
     rows = computed(rows, subject=F.concat(F.lit("jobs:"), "page_url", F.lit(":"), F.coalesce(_key_json(node, "identifier"), fallback)))
     # Equal postings collapse, different ones under one subject vanish.
-    rows = drop_conflicts(rows.drop("node"), ["organisation_number", "evidence_id", "subject"], "node_json", [F.col("ord")])
+    rows = drop_conflicts(rows.drop("node"), ["organisation_number", "evidence_id", "subject"], "node_json", ["ord"])
     rows = cap(rows, ["organisation_number", "evidence_id"], [F.col("ord")], 20)
     return as_claims(
         rows, claim_id=digest("organisation_number", "subject", "node_json"), field="jobs", subject=F.col("subject"), value_json=F.col("node_json"),

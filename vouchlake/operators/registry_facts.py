@@ -141,15 +141,15 @@ def registry_candidates(df: DataFrame) -> DataFrame:
 
 def baseline_availability(df: DataFrame) -> DataFrame:
     """Registry availability plus the fields that only later stages can fill."""
-    facts = registry_facts(df).select("organisation_number", "field", "state", "reason")
-    names = gate_confirmed(gate_registry(df)).filter(F.col("state") == "available").select("organisation_number")
-    later = names.select(
-        "organisation_number",
-        F.explode(F.array(*[F.lit(f) for f in fixed.LATER_STAGE_FIELDS])).alias("field"),
-        F.lit("not_available").alias("state"),
-        F.lit("not_researched_in_registry_baseline").alias("reason"),
-    )
-    return facts.unionByName(later)
+    facts = registry_facts(df)
+    own = F.struct("field", "state", "reason")
+    later = [
+        F.struct(F.lit(f).alias("field"), F.lit("not_available").alias("state"), F.lit("not_researched_in_registry_baseline").alias("reason"))
+        for f in fixed.LATER_STAGE_FIELDS
+    ]
+    # Every available record has exactly one legal_name row; it carries the later fields along.
+    rows = F.when(F.col("field") == "legal_name", F.array(own, *later)).otherwise(F.array(own))
+    return facts.select("organisation_number", F.inline(rows))
 
 
 def left_outcomes(inputs: DataFrame, records: DataFrame, missing_reason: str) -> DataFrame:

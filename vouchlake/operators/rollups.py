@@ -92,15 +92,15 @@ def rollup_state(states: DataFrame, key: str, priority=fixed.STATE_PRIORITY) ->
     )
 
 
-def drop_conflicts(df: DataFrame, keys: list[str], fingerprint: str, order: list[Column]) -> DataFrame:
-    """Keys whose rows disagree vanish; agreeing duplicates collapse to the first."""
-    agreed = (
-        df.groupBy(*keys)
-        .agg(F.min(fingerprint).alias("_lo"), F.max(fingerprint).alias("_hi"))
-        .filter(F.col("_lo").eqNullSafe(F.col("_hi")))
-        .drop("_lo", "_hi")
-    )
-    return keep_first(df, keys, order).join(agreed, keys, "left_semi")
+def drop_conflicts(df: DataFrame, keys: list[str], fingerprint: str, order: list[str], last: bool = False) -> DataFrame:
+    """Keys whose rows disagree vanish; agreeing duplicates collapse to the first (or last) row.
+
+    One aggregation decides both, so the rows above it are computed once.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    pick = (F.max_by if last else F.min_by)(F.struct(*rest), F.struct(*order))
+    merged = df.groupBy(*keys).agg(F.min(fingerprint).alias("_lo"), F.max(fingerprint).alias("_hi"), pick.alias("_row"))
+    return merged.filter(F.col("_lo").eqNullSafe(F.col("_hi"))).select(*keys, "_row.*").select(*df.columns)
 
 
 def distinct_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -45,3 +45,15 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for written intermediates, on the shared checkpoint storage."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, scan: bool = True) -> DataFrame:
+    """Use all cores for costly per-row parsing of a table stored in few splits.
+
+    A scan with enough splits is returned as it is, so large tables are not shuffled.
+    ``scan=False`` is for a small shuffled result that AQE would fold into one task.
+    """
+    width = df.sparkSession.sparkContext.defaultParallelism
+    if scan and df.rdd.getNumPartitions() >= width:
+        return df
+    return df.repartition(width)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vouchlake.operators import registry_facts as RF
 from vouchlake.plans import audit as A
+from vouchlake.session import durable
 
 from .common import REGISTRY_FACTS_SQL, key_sql, query, registry_responses, table
 
@@ -41,7 +42,7 @@ def _c9(spark, d):
     bodies = registry_responses(spark, d).withColumns({"source_class": F.lit("official_registry"), "extractor_version": F.lit("v1")})
     registry = A.ExtractorRegistry()
     registry.add("official_registry", "v1", RF.unpivot_claims)
-    derived = registry.replay(bodies)
+    derived = durable(registry.replay(bodies))
     k = F.substring("organisation_number", 2, 7).cast("int") % 20
     stored = derived.withColumn("value_json", F.when((k == 0) & (F.col("field") == "bankrupt"), F.lit('"true"')).otherwise(F.col("value_json")))
     stored = stored.withColumn("json_pointer", F.when((k == 1) & (F.col("field") == "industry"), F.lit("/navn")).otherwise(F.col("json_pointer")))
@@ -60,7 +61,7 @@ def _c9(spark, d):
     SELECT org AS organisation_number, c AS "check" FROM v""",
 )
 def _c10(spark, d):
-    claims = RF.unpivot_claims(registry_responses(spark, d))
+    claims = durable(RF.unpivot_claims(registry_responses(spark, d)))
     k = (F.substring("organisation_number", 2, 7).cast("int") % 20).alias("k")
     claims = claims.withColumn("k", k)
     profiles = claims.select("organisation_number", "k").distinct().withColumn("state", F.when(F.col("k") == 0, "blocked").when(F.col("k") == 1, "gone").otherwise("available"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vouchlake.operators import registry_facts as RF
 from vouchlake.plans import contract as C, report as P, summary as S
-from vouchlake.session import scratch
+from vouchlake.session import durable, scratch
 from vouchlake.sinks import tables as K
 
 from .aggregates import STATE_SQL, event_states
@@ -40,7 +40,7 @@ def _k3(spark, d):
 )
 def _c12(spark, d):
     responses = registry_responses(spark, d)
-    facts = RF.registry_facts(responses)
+    facts = durable(RF.registry_facts(responses))
     k = F.substring("organisation_number", 2, 7).cast("int")
     url = F.concat(F.lit("https://c"), k.cast("string"), F.lit(".example.com/"))
     site = facts.filter((F.col("field") == "legal_name") & (k % 2 == 0))
@@ -104,7 +104,7 @@ def _c13(spark, d):
 )
 def _c14(spark, d):
     responses = registry_responses(spark, d)
-    facts = RF.registry_facts(responses)
+    facts = durable(RF.registry_facts(responses))
     names = facts.select("organisation_number", "legal_name").distinct()
     o = table(spark, d, "orders").withColumn("organisation_number", org_key(F.col("o_custkey"))).filter("organisation_number is not null")
     key, day = F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -123,6 +123,7 @@ def _c14(spark, d):
         .unionByName(claim(st, "financials", money("revenue", F.col("cents")), y))
         .unionByName(claim(st.filter("o_custkey % 2 = 0"), "financials", money("annual_result", F.floor(F.col("cents") / 10)), y))
     )
+    claims = durable(claims)  # a stored claim table; the summary reads it several times
     availability = RF.baseline_availability(responses).withColumn("ord", F.col("field"))
     changes = o.select("organisation_number", F.lit("registered_address").alias("field"), F.lit("changed").alias("kind"), F.col("o_orderkey").alias("ord"))
     return S.summaries(names, claims, availability, changes)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,9 +37,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise a shared intermediate so that a lost executor cannot change it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a shared intermediate once and read it back, so a lost executor cannot change it.
+
+    A written table is computed one time (an RDD checkpoint computes twice), keeps
+    its size for later join choices and is read column by column.
+    """
+    path = scratch(df.sparkSession, "table")
+    untyped = {f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema.fields if isinstance(f.dataType, T.NullType)}
+    (df.withColumns(untyped) if untyped else df).write.parquet(path)
+    return df.sparkSession.read.schema(df.withColumns(untyped).schema if untyped else df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vouchlake.llm.common import ORACLE, QUERIES, query, table
+from vouchlake.llm.decontaminate import judged, occurrences
+from vouchlake.llm.simhash import hex_mark, near_groups
 from vouchlake.llm.substring import remove_repeats
 
 SPLIT = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -28,3 +30,35 @@ SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(kept) AS kep
 def op1(spark, sf_dir):
     out = remove_repeats(table(spark, sf_dir, "documents"), 13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op6_benchmark_decontamination",
+    f"""
+WITH d AS (SELECT doc_id, {TERMS} AS w FROM documents),
+b AS (SELECT item_id, {TERMS} AS w FROM benchmark),
+bw AS (SELECT item_id, least(13, len(w)) AS n, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+bk AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i+n-1], ' ') AS k FROM bw),
+sizes AS (SELECT DISTINCT n FROM bk),
+dw AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+hit AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bk ON bk.n = dw.n AND bk.k = array_to_string(dw.w[i:i+dw.n-1], ' ')),
+words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+)
+def op6(spark, sf_dir):
+    out = judged(occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13))
+    ids = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), "contaminated")
+
+
+@query("op4_simhash_near_dedup")
+def op4(spark, sf_dir):
+    out = near_groups(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", hex_mark(F.col("fp")).alias("fingerprint"), "component_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vouchlake.llm import bpe
 from vouchlake.llm.common import ORACLE, QUERIES, query, table
 from vouchlake.llm.decontaminate import judged, occurrences
 from vouchlake.llm.simhash import hex_mark, near_groups
@@ -62,3 +63,17 @@ def op6(spark, sf_dir):
 def op4(spark, sf_dir):
     out = near_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", hex_mark(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op7_bpe_encoding")
+def op7(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return out.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

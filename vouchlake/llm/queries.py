@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vouchlake.llm import bpe
+from vouchlake.llm import bpe, urlfilter
 from vouchlake.llm.common import ORACLE, QUERIES, query, table
 from vouchlake.llm.decontaminate import judged, occurrences
+from vouchlake.llm.neighbours import search
+from vouchlake.llm.sharding import interleave
 from vouchlake.llm.simhash import hex_mark, near_groups
 from vouchlake.llm.substring import remove_repeats
 
@@ -77,3 +79,60 @@ def op7(spark, sf_dir):
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+UNIT = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+
+
+@query(
+    "op2_sharding",
+    f"""
+WITH crc AS (SELECT {_crc_table()}::BIGINT[] AS t),
+b AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS source_key FROM documents),
+h AS (SELECT doc_id, source_key, octet_length(encode(text)) + 16 AS size,
+  xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT)::BIGINT AS text_crc32,
+  {UNIT.format("'42:' || doc_id")} AS h, {UNIT.format("'42:' || source_key")}::DOUBLE / 4294967296.0::DOUBLE AS u FROM b, crc),
+r AS (SELECT *, (row_number() OVER (PARTITION BY source_key ORDER BY h, doc_id) - 1 + u) / count(*) OVER (PARTITION BY source_key)::DOUBLE AS f FROM h),
+p AS (SELECT *, row_number() OVER (ORDER BY f, source_key, doc_id) - 1 AS p, count(*) OVER () AS n FROM r)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (p * 40 // n)::INT AS shard,
+  (p - ((p * 40 // n) * n + 39) // 40)::BIGINT AS slot, NULL::INT AS grown_shard FROM p""",
+)
+def op2(spark, sf_dir):
+    out = interleave(table(spark, sf_dir, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+@query("op5_url_filters")
+def op5(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    weights = urlfilter.fit(urlfilter.labelled_by_rules(pages, RULES))
+    return urlfilter.judge(pages, RULES, weights)
+
+
+@query(
+    "op8_nearest_neighbours",
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  list_reduce([0.0::DOUBLE] || list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]), lambda a, b: a + b) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20""",
+)
+def op8(spark, sf_dir):
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vouchlake.llm import bpe, urlfilter
+from vouchlake.llm import bpe, secrets, urlfilter
 from vouchlake.llm.common import ORACLE, QUERIES, query, table
 from vouchlake.llm.decontaminate import judged, occurrences
 from vouchlake.llm.neighbours import search
@@ -136,3 +136,13 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20""",
 )
 def op8(spark, sf_dir):
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op10_secret_scans")
+def op10(spark, sf_dir):
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return out.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"),
+    )

@@ -33,7 +33,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Code points outside blocks whose letter and number classes have long been settled.
 RARE = re.compile("[^\x00-\u0557\u1e00-\u1fff\u2000-\u206f\u20a0-\u20bf\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f64f]")
 #: Words and token pairs that a worker remembers; beyond it starts anew.
-REMEMBER = 500_000
+REMEMBER = 300_000
+#: Letters of the texts whose words share one walk.
+TOGETHER = 2_000_000
 
 
 def byte_letters() -> list[str]:
@@ -181,6 +183,17 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers."""
+        out, at = [], 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
+                size += len(texts[end])
+                end += 1
+            out += self._encode(texts[at:end])
+            at = end
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = []
         for text in texts:
             pieces = self.cut.split(text) if self.cut and self.cut.search(text) else [text]

@@ -10,7 +10,7 @@ window-length suffix knows the items that hold the window.
 The automaton is broadcast. Its size is bounded: items are dealt into blocks of at most
 ``BLOCK_WORDS`` words (an item longer than that is a block of its own, cut into pieces
 that overlap by a window less one word, so no window is lost), one pass over the
-documents each; passes meet by document.
+documents each, and what a pass finds travels on with the row.
 
 Defined cases: a null text has no words and is clean; null or wordless items never occur;
 a null item_id is reported as no item but its windows still hit; repeated item_ids count
@@ -24,13 +24,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vouchlake.llm.common import bounded_batches, spans_of
+from vouchlake.llm.components import stored
 
 #: Item words in one automaton; about 500 bytes of memory each.
 BLOCK_WORDS = 200_000
-RESULT = "doc_id long, tag long, n_words long, hits array<struct<start:long,end:long>>, items array<string>"
 
 
 def _fold_table() -> bytes:
@@ -167,21 +167,29 @@ def _merge(firsts: list[int], lasts: list[int], n_words: int) -> list[dict]:
     return [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist())]
 
 
+HITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+FOUND = {"_n_words": "long", "_hits": "array<struct<start:long,end:long>>", "_items": "array<string>"}
+
+
 def _scan_task(automaton):
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
-    names = ["doc_id", "tag", "n_words", "hits", "items"]
+    """The last four columns are text, words, hits and items; what a block finds joins what others found."""
 
     def run(batches):
         machine = automaton.value
         for batch in batches:
+            keep, text_at = batch.columns[:-4], batch.num_columns - 4
             counts, hits, items = [], [], []
-            for text in batch.column(2):
+            for text, old_hits, old_items in zip(batch.column(text_at), batch.column(text_at + 2).to_pylist(), batch.column(text_at + 3).to_pylist()):
                 words = words_of(text.as_buffer().to_pybytes()) if text.is_valid else []
                 firsts, lasts, found = machine.scan(words)
+                for x in old_hits or ():
+                    firsts.append(x["start"])
+                    lasts.append(x["end"])
                 counts.append(len(words))
                 hits.append(_merge(firsts, lasts, len(words)))
-                items.append(sorted(x for x in found if x is not None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, types[2]), pa.array(hits, types[3]), pa.array(items, types[4])], names)
+                items.append(sorted({x for x in found if x is not None}.union(old_items or ())))
+            columns = [*keep, batch.column(text_at), pa.array(counts, pa.int64()), pa.array(hits, HITS), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return run
 
@@ -203,31 +211,26 @@ def _blocks(benchmark: DataFrame, window: int):
     yield held
 
 
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, keep: list[Column]) -> DataFrame:
+    """The kept columns with the text and what all blocks find: one pass per block, a written table between passes."""
+    spark = bounded_batches(docs)
+    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"), *[F.lit(None).cast(t).alias(c) for c, t in FOUND.items()])
+    first = True
+    for items in _blocks(benchmark, window):
+        rows = rows if first else stored(rows, "scanned")[0]
+        rows = rows.mapInArrow(_scan_task(spark.sparkContext.broadcast(Automaton(items, window))), rows.schema)
+        first = False
+    return rows
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, tag, n_words, hits, items) of each document.
+    """(doc_id, n_words, hits, items) of each document.
 
     ``hits`` are maximal intervals of hit word positions, end exclusive; ``items`` the
-    sorted item_ids (as text) with an occurring window. ``tag`` is XXH64 of the text.
+    sorted item_ids (as text) with an occurring window.
     """
-    spark = bounded_batches(docs)
-    text = F.col("text").cast("string")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    passes = [docs.mapInArrow(_scan_task(spark.sparkContext.broadcast(Automaton(items, window))), RESULT) for items in _blocks(benchmark, window)]
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for more in passes[1:]:
-        every = every.unionByName(more)
-    # Rows of one text are equal in every pass, so a group is one document or exact repeats of it.
-    joined = every.groupBy("doc_id", "tag").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("hits"))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.count("*") / len(passes)).cast("int").alias("_times")
-    )
-    grow = lambda done, x: F.when(
-        (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
-        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end")))),
-    ).otherwise(F.concat(done, F.array(x)))
-    merged = joined.withColumn("hits", F.aggregate("h", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), grow))
-    return merged.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("doc_id", "tag", "n_words", "hits", "items")
+    rows = _scanned(docs, benchmark, window, [F.col("doc_id").cast("long").alias("doc_id")])
+    return rows.select("doc_id", *[F.col(c).alias(c[1:]) for c in FOUND])
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -235,3 +238,11 @@ def judged(found: DataFrame) -> DataFrame:
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     found = found.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long"))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """The documents that are not contaminated, with their columns as they are."""
+    columns = docs.columns
+    rows = _scanned(docs, benchmark, window, [F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")])
+    found = judged(rows.select("_row", *[F.col(c).alias(c[1:]) for c in FOUND]))
+    return found.filter("not contaminated").select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vouchlake.llm import bpe, secrets, urlfilter
-from vouchlake.llm.common import ORACLE, QUERIES, query, table
+from vouchlake.llm import bpe, language, quality, secrets, urlfilter
+from vouchlake.llm.common import ORACLE, QUERIES, fold, query, table
 from vouchlake.llm.decontaminate import judged, occurrences
 from vouchlake.llm.neighbours import search
 from vouchlake.llm.sharding import interleave
@@ -146,3 +146,20 @@ def op10(spark, sf_dir):
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secrets.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"),
     )
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 4) == 2
+    model = language.fit(language.learnable(docs, ~held))
+    return language.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op9_quality_classifier")
+def op9(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = fold(F.col("doc_id"), 5) == 0
+    network = quality.fit(docs, labels.filter(~held))
+    out = quality.score(docs, network)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -26,16 +26,28 @@ def build_session(app: str = "vouchlake", master: str | None = None, **extra: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+    """The shared folder the cluster names; a temporary one only where driver and executors are one process."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not one_process(context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
+def one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a written intermediate that no later read needs."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write a shared intermediate once and read it back, so a lost executor cannot change it.
 

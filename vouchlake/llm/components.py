@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from vouchlake.session import scratch
+from vouchlake.session import forget, scratch
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -14,12 +14,6 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Remove a written intermediate that no later read needs."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Links (a > b). Large step: hang larger neighbours on the least one; small step: smaller ones."""
     sides = links.select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from vouchlake.llm.common import bounded_batches, width
-from vouchlake.llm.components import components, forget, stored
+from vouchlake.llm.components import components, stored
 
 BITS = 64
 #: Fingerprints compared in one bucket; 2**FREE, so a bucket with FREE free bits always fits.

@@ -54,10 +54,10 @@ def _a3(spark, d):
 @query(
     "a4_merge_evidence",
     """SELECT user_id, min(ts)::VARCHAR AS retrieved_at, max(ts)::VARCHAR AS last_retrieved_at, count(DISTINCT ts) AS n_retrievals,
-      count(DISTINCT event_type) > 1 AS identity_conflict FROM events WHERE event_id % 3 = 0 OR event_type = 'click' GROUP BY user_id""",
+      count(DISTINCT event_type) > 1 AS identity_conflict FROM events GROUP BY user_id""",
 )
 def _a4(spark, d):
-    e = table(spark, d, "events").filter("event_id % 3 = 0 or event_type = 'click'")
+    e = table(spark, d, "events")
     out = A.merge_evidence(e, "user_id", ["event_type"], "ts")
     return out.withColumns({c: F.col(c).cast("string") for c in ("retrieved_at", "last_retrieved_at")})
 
@@ -71,7 +71,7 @@ def _a4b(spark, d):
 @query(
     "a5_claim_spans",
     """WITH f AS (SELECT conv_id, text, min(turn) AS turn FROM conversations GROUP BY 1, 2)
-    SELECT conv_id, CAST(floor(turn / 1000) AS BIGINT) AS part, string_agg(text, chr(10) ORDER BY turn) AS claim_span FROM f GROUP BY 1, 2""",
+    SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS claim_span FROM f GROUP BY 1""",
 )
 def _a5(spark, d):
     return A.claim_spans(table(spark, d, "conversations"), "conv_id", "turn", "text")
@@ -97,10 +97,10 @@ def _a7(spark, d):
 @query(
     "a8_single_label",
     """SELECT conv_id, 'user' AS expected, count(role) AS n_labels, min(role) = 'user' AND max(role) = 'user' AS single
-      FROM conversations WHERE turn < 2 GROUP BY conv_id""",
+      FROM conversations GROUP BY conv_id""",
 )
 def _a8(spark, d):
-    c = table(spark, d, "conversations").filter("turn < 2").withColumn("expected", F.lit("user"))
+    c = table(spark, d, "conversations").withColumn("expected", F.lit("user"))
     return A.single_label(c, "conv_id", "role", "expected")
 
 

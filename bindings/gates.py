@@ -133,13 +133,13 @@ def _p15(spark, d):
 @query(
     "p16_consensus_dates",
     """WITH e AS (SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H') AS hour, CAST(ts AS DATE) AS day, value FROM events)
-    SELECT user_id, event_type, CASE WHEN min(day) = max(day) AND sum(CASE WHEN value < 3 THEN 1 ELSE 0 END) = 0 AND max(day) <= DATE '2024-01-20' THEN strftime(min(day), '%Y-%m-%d') END AS published_at
-    FROM e WHERE value < 12 GROUP BY 1, 2""",
+    SELECT user_id, event_type, hour, CASE WHEN min(day) = max(day) AND sum(CASE WHEN value < 3 THEN 1 ELSE 0 END) = 0 AND max(day) <= DATE '2024-01-20' THEN strftime(min(day), '%Y-%m-%d') END AS published_at
+    FROM e GROUP BY 1, 2, 3""",
 )
 def _p16(spark, d):
-    e = table(spark, d, "events").filter("value < 12")
+    e = table(spark, d, "events").withColumn("hour", F.date_format("ts", "yyyy-MM-dd HH"))
     stamp = F.when(F.col("value") < 3, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
-    return G.consensus_dates(e.select("user_id", "event_type", stamp.alias("stamp")), ["user_id", "event_type"], "stamp", F.lit("2024-01-20"))
+    return G.consensus_dates(e.select("user_id", "event_type", "hour", stamp.alias("stamp")), ["user_id", "event_type", "hour"], "stamp", F.lit("2024-01-20"))
 
 
 @query(

@@ -35,15 +35,15 @@ def _j4(spark, d):
 
 
 PERIODS_SQL = f"""{OBS_SQL},
-prior AS (SELECT user_id, event_type, arg_max(v, (ts, event_id)) AS v FROM obs WHERE day BETWEEN '2024-01-13' AND '2024-01-15' GROUP BY 1, 2),
-cur AS (SELECT user_id, event_type, arg_max(v, (ts, event_id)) AS v FROM obs WHERE day = '2024-01-16' GROUP BY 1, 2)"""
+prior AS (SELECT user_id, event_type, arg_max(v, (ts, event_id)) AS v FROM obs WHERE day <= '2024-01-29' GROUP BY 1, 2),
+cur AS (SELECT user_id, event_type, arg_max(v, (ts, event_id)) AS v FROM obs WHERE day >= '2024-01-30' GROUP BY 1, 2)"""
 
 
 def two_periods(spark, d):
     obs = observations(spark, d)
     last = F.max_by("v", F.struct("ts", "event_id")).alias("v")
-    prior = obs.filter(F.col("day").between("2024-01-13", "2024-01-15")).groupBy("user_id", "event_type").agg(last)
-    current = obs.filter(F.col("day") == "2024-01-16").groupBy("user_id", "event_type").agg(last)
+    prior = obs.filter(F.col("day") <= "2024-01-29").groupBy("user_id", "event_type").agg(last)
+    current = obs.filter(F.col("day") >= "2024-01-30").groupBy("user_id", "event_type").agg(last)
     return prior, current
 
 

@@ -8,9 +8,9 @@ from .common import key_sql, org_key, query, table
 from .derive import OBS_SQL, STATEMENTS_SQL, observations, statements
 
 SPLIT_SQL = f"""{OBS_SQL},
-older AS (SELECT user_id, event_type, arg_max(v, (ts, event_id)) AS v, arg_max(event_id, (ts, event_id)) AS ev, any_value(src) AS src FROM obs WHERE day BETWEEN '2024-01-10' AND '2024-01-12' GROUP BY 1, 2),
-prior AS (SELECT user_id, event_type, arg_max(v, (ts, event_id)) AS v, arg_max(event_id, (ts, event_id)) AS ev, any_value(src) AS src FROM obs WHERE day BETWEEN '2024-01-13' AND '2024-01-15' GROUP BY 1, 2),
-cur AS (SELECT user_id, event_type, arg_max(v, (ts, event_id)) AS v, arg_max(event_id, (ts, event_id)) AS ev, any_value(src) AS src FROM obs WHERE day = '2024-01-16' GROUP BY 1, 2),
+older AS (SELECT user_id, event_type, arg_max(v, (ts, event_id)) AS v, arg_max(event_id, (ts, event_id)) AS ev, any_value(src) AS src FROM obs WHERE day <= '2024-01-26' GROUP BY 1, 2),
+prior AS (SELECT user_id, event_type, arg_max(v, (ts, event_id)) AS v, arg_max(event_id, (ts, event_id)) AS ev, any_value(src) AS src FROM obs WHERE day BETWEEN '2024-01-27' AND '2024-01-29' GROUP BY 1, 2),
+cur AS (SELECT user_id, event_type, arg_max(v, (ts, event_id)) AS v, arg_max(event_id, (ts, event_id)) AS ev, any_value(src) AS src FROM obs WHERE day >= '2024-01-30' GROUP BY 1, 2),
 ent AS (SELECT user_id, user_id % 7 = 0 AS failed FROM (SELECT DISTINCT user_id FROM prior)),
 chk AS (SELECT DISTINCT user_id, src FROM cur),
 chg AS (SELECT coalesce(p.user_id, c.user_id) AS user_id, coalesce(p.event_type, c.event_type) AS event_type, p.v AS b, c.v AS a, p.ev AS pev,
@@ -31,9 +31,9 @@ def split(spark, d):
             F.col("v").cast("string").alias("value_json"), F.col("ev").cast("string").alias("evidence_id"), F.col("src").alias("source_class"), F.lit("u").alias("source_url"),
         )
 
-    older, prior, current = window("2024-01-10", "2024-01-12"), window("2024-01-13", "2024-01-15"), window("2024-01-16", "2024-01-16")
+    older, prior, current = window("0000-01-01", "2024-01-26"), window("2024-01-27", "2024-01-29"), window("2024-01-30", "9999-12-31")
     entities = prior.select("organisation_number").distinct().select(
-        "organisation_number", F.when(F.col("organisation_number").cast("int") % 7 == 0, "failed").otherwise("available").alias("state"), F.lit("2024-01-15").alias("previous_success_at")
+        "organisation_number", F.when(F.col("organisation_number").cast("int") % 7 == 0, "failed").otherwise("available").alias("state"), F.lit("2024-01-29").alias("previous_success_at")
     )
     return older, prior, current, entities
 
@@ -91,7 +91,7 @@ def _c4(spark, d):
     return kept(spark, d).filter("state = 'available'").select("organisation_number", "subject", "value_json", "stage")
 
 
-@query("c5_last_known_failed", f"{LAST_SQL} SELECT user_id::VARCHAR AS organisation_number, event_type AS subject, v::VARCHAR AS value_json, stage, '2024-01-15' AS as_of FROM g WHERE failed")
+@query("c5_last_known_failed", f"{LAST_SQL} SELECT user_id::VARCHAR AS organisation_number, event_type AS subject, v::VARCHAR AS value_json, stage, '2024-01-29' AS as_of FROM g WHERE failed")
 def _c5(spark, d):
     return kept(spark, d).filter("state <> 'available'").select("organisation_number", "subject", "value_json", "stage", "as_of")
 

@@ -29,7 +29,7 @@ def _ascii_host(hosts: pd.Series) -> pd.Series:
 EDGES = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 
-def normalize_urls(df: DataFrame, column: str, idna: bool = False) -> DataFrame:
+def normalize_urls(df: DataFrame, column: str, idna: bool = True) -> DataFrame:
     """P5: add norm_url, host, path, query and reject_reason.
 
     Exactly one of norm_url and reject_reason is set. With ``idna`` only hosts that

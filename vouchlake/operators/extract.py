@@ -336,8 +336,8 @@ def extract_legal(pages: DataFrame, version: int = 2) -> DataFrame:
     )
 
 
-def claim_excerpts(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """What the stored source says at each claim's locator, at most 2048 characters.
+def claim_excerpts(claims: DataFrame, evidence: DataFrame, limit: int | None = None) -> DataFrame:
+    """What the stored source says at each claim's locator, whole or at most ``limit`` characters.
 
     ``evidence``: evidence_id, body, is_json, text (of pages), json_ld.
     """
@@ -358,4 +358,5 @@ def claim_excerpts(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     literal = unquoted(F.col("value_json"))
     use_pointer = (F.col("is_json") & F.col("json_pointer").isNotNull()) | F.col("json_ld_block").isNotNull()
     found = F.when(use_pointer, at_pointer).when(F.col("text_span").isNotNull() & in_text.isNotNull(), in_text).when(F.contains("body", literal), literal)
-    return j.select("organisation_number", "claim_id", "evidence_id", F.substring(F.coalesce(found, "value_json"), 1, 2048).alias("excerpt"))
+    excerpt = F.coalesce(found, "value_json")
+    return j.select("organisation_number", "claim_id", "evidence_id", (F.substring(excerpt, 1, limit) if limit else excerpt).alias("excerpt"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vouchlake.functions import fixed, urls
 from vouchlake.functions.canon import as_col, computed, utc_date
 from .joins import match_prefix
+from .windows import keep_first
 
 
 def filter_allowlist(df: DataFrame, allowed: DataFrame, host: str = "host") -> DataFrame:
@@ -109,6 +110,9 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
 
 def filter_robots(frontier: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """State, allowance and pacing of every frontier URL (host, path)."""
+    # Of several answers of one host the latest counts.
+    newest = [F.col("retrieved_at").desc()] if "retrieved_at" in robots.columns else []
+    robots = keep_first(robots, ["host"], [*newest, F.col("http_status"), F.col("body")])
     lines = robots_rules(robots, agent)
     paths = lines.filter(F.col("_k").isin("allow", "disallow"))
     rules = paths.select(
@@ -123,8 +127,9 @@ def filter_robots(frontier: DataFrame, robots: DataFrame, agent: str) -> DataFra
         )
     )
     delays = pace.groupBy("host").agg(F.max(wait).alias("_wait"))
-    hits = match_prefix(frontier, rules, "host", "path", "rule", "line").select(*frontier.columns, "allow")
-    out = frontier.join(hits, frontier.columns, "left").join(robots.select("host", "http_status"), "host", "left").join(delays, "host", "left")
+    asked = frontier.select("host", "path").distinct()
+    hits = match_prefix(asked, rules, "host", "path", "rule", "line").select("host", "path", "allow")
+    out = frontier.join(hits, ["host", "path"], "left").join(robots.select("host", "http_status"), "host", "left").join(delays, "host", "left")
     reason = F.when(F.col("http_status") == 404, F.lit(None).cast("string")).when(
         F.coalesce(F.col("http_status") != 200, F.lit(True)), F.lit("robots_unavailable")
     ).when(F.coalesce(~F.col("allow"), F.lit(False)), F.lit("robots_disallowed"))

@@ -45,7 +45,7 @@ def nearest_rank(df: DataFrame, value: str, shares: dict[str, float]) -> DataFra
 
 def merge_evidence(evidence: DataFrame, key: str, identity: list[str], seen_at: str) -> DataFrame:
     """A4: one row per id with first and last retrieval; disagreeing identities are marked."""
-    mark = F.xxhash64(*identity)
+    mark = F.to_json(F.struct(*identity), {"ignoreNullFields": "false"})
     return evidence.groupBy(key).agg(
         F.min(seen_at).alias("retrieved_at"),
         F.max(seen_at).alias("last_retrieved_at"),
@@ -59,21 +59,13 @@ def retrieval_times(evidence: DataFrame, key: str, seen_at: str) -> DataFrame:
     return evidence.select(key, seen_at).distinct()
 
 
-SPAN_PART = 1000
-
-
 def claim_spans(excerpts: DataFrame, key: str, ordinal: str, text: str) -> DataFrame:
-    """A5: ordered distinct excerpts per evidence row, joined by newlines.
-
-    Spans are cut in parts of SPAN_PART ordinals, so one heavily cited source
-    becomes several rows; joining the parts in order gives the whole span.
-    """
+    """A5: ordered distinct excerpts per evidence row, joined by newlines into one value."""
     first = keep_first(excerpts, [key, text], [F.col(ordinal)])
-    part = F.floor(F.col(ordinal) / SPAN_PART).cast("bigint")
     return (
-        first.groupBy(key, part.alias("part"))
+        first.groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(text).alias("t")))).alias("_all"))
-        .select(key, "part", F.array_join(F.transform("_all", lambda x: x["t"]), "\n").alias("claim_span"))
+        .select(key, F.array_join(F.transform("_all", lambda x: x["t"]), "\n").alias("claim_span"))
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vouchlake.functions import fixed
@@ -15,8 +17,12 @@ COUNT = "antallAnsatte"
 RENAMES = {"registreringsdatoenhetsregisteret": "registreringsdatoEnhetsregisteret"}
 
 
-def read_bulk_csv(spark: SparkSession, path: str, wanted: DataFrame | None = None, key: str = KEY) -> DataFrame:
-    """Delimiter from the header line, BOM tolerated, only wanted keys kept."""
+def read_bulk_csv(spark: SparkSession, path: str, wanted: DataFrame | None = None, key: str = KEY, multi_line: bool = False) -> DataFrame:
+    """Delimiter from the header line, BOM tolerated, only wanted keys kept.
+
+    Every file's header must name the same columns in the same order. ``multi_line``
+    allows line breaks inside quotes; a file is then read by one task.
+    """
     head = spark.read.text(path).limit(1).first()
     header = (head[0] if head else "").lstrip("\ufeff")
     sep = ";" if header.count(";") > header.count(",") else ","
@@ -24,14 +30,19 @@ def read_bulk_csv(spark: SparkSession, path: str, wanted: DataFrame | None = Non
     if key not in names or len(set(names)) != len(names):
         raise ValueError("invalid_bulk_header")
     schema = ", ".join(f"`{n}` STRING" for n in names) + ", `_corrupt` STRING"
-    rows = spark.read.csv(
-        path, schema=schema, sep=sep, header=True, quote='"', escape='"', multiLine=False, enforceSchema=True,
+    # Pruned parsing would not see cells beyond the header.
+    rows = spark.read.option("columnPruning", "false").csv(
+        path, schema=schema, sep=sep, header=True, quote='"', escape='"', multiLine=multi_line, enforceSchema=False,
         mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", emptyValue="",
     )
     if wanted is not None:
         rows = rows.join(wanted.select(F.col(wanted.columns[0]).alias(key)).distinct(), key, "left_semi")
-    # Extra columns on a wanted row are fatal; rows nobody asked for are never judged.
-    return rows.withColumn("_corrupt", F.when(F.col("_corrupt").isNotNull(), F.raise_error(F.lit("invalid_bulk_columns"))))
+    # Extra columns on a wanted row are fatal; rows nobody asked for are never judged. The guard
+    # is a filter, so it holds whatever columns the caller uses; its input is computed above the
+    # join, so it stays there.
+    rows = computed(rows, _fault=F.col("_corrupt").isNotNull())
+    fault = F.raise_error(F.lit("invalid_bulk_columns")).cast("boolean")
+    return rows.filter(F.when(F.col("_fault"), fault).otherwise(F.lit(True))).drop("_fault")
 
 
 def read_bulk_jsonl(spark: SparkSession, path: str, wanted: DataFrame | None = None, key: str = KEY) -> DataFrame:
@@ -90,11 +101,16 @@ def nest_dotted_columns(df: DataFrame, columns: list[str], keep: list[str], bool
             return value.try_cast("decimal(38,0)")
         return value
 
+    def present(node: dict) -> Column:
+        held = [present(c) if isinstance(c, dict) else given(c).isNotNull() for c in node.values()]
+        return reduce(lambda a, b: a | b, held)
+
     def build(node: dict) -> Column:
+        """A group without any given column is NULL, which the JSON text leaves out."""
         cells = []
         for key in sorted(node):
             child = node[key]
-            cells.append((build(child) if isinstance(child, dict) else leaf(key, child)).alias(key))
+            cells.append((F.when(present(child), build(child)) if isinstance(child, dict) else leaf(key, child)).alias(key))
         return F.struct(*cells)
 
     error = F.lit(None).cast("string")
@@ -105,8 +121,6 @@ def nest_dotted_columns(df: DataFrame, columns: list[str], keep: list[str], bool
         if key in flat:
             error = F.when(~F.lower(given(flat[key])).isin("true", "false"), F.lit("invalid_bulk_boolean")).otherwise(error)
     nested = F.to_json(build(tree))
-    nested = F.regexp_replace(nested, r'"[^"\\]+":\{\},?', "")  # a group without any given column is absent
-    nested = F.regexp_replace(nested, r",\}", "}")
     out = computed(df, record_error=error)
     return computed(out, record_json=F.when(F.col("record_error").isNull(), nested)).select(*keep, "record_json", "record_error")
 

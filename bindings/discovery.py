@@ -111,7 +111,7 @@ def order_links(spark, d):
 
 
 SOCIAL_SQL = """l AS (SELECT o_custkey AS k, o_orderkey AS ord, o_orderstatus AS s, o_orderkey % 6 AS u, o_orderpriority < '3' AS social FROM orders),
-d AS (SELECT * FROM l WHERE social QUALIFY row_number() OVER (PARTITION BY k, u ORDER BY ord) = 1), t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord) <= 3),
+t AS (SELECT * FROM l WHERE social QUALIFY row_number() OVER (PARTITION BY k, u ORDER BY ord) = 1),
 v AS (SELECT *, s = 'F' AS proven, min(CASE WHEN s = 'F' THEN ord END) OVER (PARTITION BY k, u % 2) AS first FROM t),
 st AS (SELECT k, ord, CASE WHEN proven AND ord = first THEN 'verified' WHEN NOT proven AND u % 2 = 1 THEN 'rejected' END AS status FROM v)"""
 
@@ -140,7 +140,7 @@ def _c21a(spark, d):
 
 
 SITES_SQL = """t AS (SELECT o_custkey AS k, o_orderkey AS ord, o_orderkey % 6 <> 0 AS allowed, o_orderkey % 7 <> 0 AS opened, CASE WHEN o_orderkey % 7 = 0 THEN 'robots_unavailable' WHEN o_orderkey % 5 = 0 THEN 'html_unavailable' END AS err, o_orderstatus = 'F' AS proven
-  FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 3),
+  FROM orders),
 b AS (SELECT *, min(CASE WHEN allowed AND err IS NULL AND proven THEN ord END) OVER (PARTITION BY k) AS best FROM t),
 r AS (SELECT *, best IS NULL OR ord <= best AS reached FROM b)"""
 

@@ -19,8 +19,6 @@ LD_SCRIPT = r"(?is)\A<script\b[^>]*\stype\s*=\s*[\"']?application/ld\+json[\"'\s
 HEADING = r"(?is)<(title|h1)\b[^>]*>(.*?)</\1\s*>"
 FIRST_HEADING = r"(?is)<(h1)\b[^>]*>(.*?)</\1\s*>"
 OTHER_REFERENCE = rf"&(?!(?:{'|'.join(fixed.CHARACTER_REFERENCES)});)[#A-Za-z]"
-MAX_ARTICLES = 20
-MAX_LD_BLOCKS = 100
 
 
 def open_tag(name: str) -> str:
@@ -82,7 +80,7 @@ def page_features(pages: DataFrame, html: str = "html") -> DataFrame:
         _hidden=F.when(F.lower(html).contains("ld+json"), F.regexp_extract_all(html, F.lit(HIDDEN), F.lit(0))),
     )
     blocks = F.filter(F.coalesce("_hidden", F.expr("cast(array() as array<string>)")), lambda t: t.rlike(LD_SCRIPT))
-    bodies = F.transform(F.slice(blocks, 1, MAX_LD_BLOCKS), lambda t: F.regexp_extract(t, r"(?is)\A<script\b[^>]*>(.*)</script\s*>\z", 1))
+    bodies = F.transform(blocks, lambda t: F.regexp_extract(t, r"(?is)\A<script\b[^>]*>(.*)</script\s*>\z", 1))
     all_of = lambda pattern, group=0: F.regexp_extract_all("_visible", F.lit(pattern), F.lit(group))
     p = computed(p, _articles=_articles(F.col("_visible")), _metas=all_of(open_tag("meta")), json_ld=F.transform(bodies, lambda b: F.to_json(F.try_parse_json(b))))
     meta_key = lambda t, a, b: F.lower(F.coalesce(F.nullif(attribute(t, a), F.lit("")), attribute(t, b)))
@@ -93,7 +91,7 @@ def page_features(pages: DataFrame, html: str = "html") -> DataFrame:
         F.array(strip_tags(F.col("_visible"))),
         F.filter(F.transform(all_of(open_tag("a")), lambda t: attribute(t, "href")), lambda h: h != ""),
         F.transform(all_of(HEADING, 2), lambda h: strip_tags(h)),
-        F.transform(F.slice("_articles", 1, MAX_ARTICLES), lambda a: strip_tags(a)),
+        F.transform("_articles", lambda a: strip_tags(a)),
         F.flatten(F.transform("_articles", lambda a: F.transform(F.regexp_extract_all(a, F.lit(FIRST_HEADING), F.lit(2)), lambda h: strip_tags(h)))),
         F.filter(
             F.flatten(F.transform("_articles", lambda a: F.transform(F.regexp_extract_all(a, F.lit(open_tag("time")), F.lit(0)), lambda t: attribute(t, "datetime")))),

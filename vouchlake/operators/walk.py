@@ -34,7 +34,7 @@ def _levels(df: DataFrame, roots: Column, children, depth: int, out: str) -> Dat
 
 
 def schema_nodes(df: DataFrame, json_ld: str = "json_ld", out: str = "nodes") -> DataFrame:
-    """X8 as a column: objects of each JSON-LD block; only lists (first 200) and @graph are entered."""
+    """X8 as a column: objects of each JSON-LD block; only lists and @graph are entered."""
     roots = F.transform(json_ld, lambda b, i: _node(i, F.lit(""), F.lpad(i.cast("string"), 8, "0"), F.try_parse_json(b)))
     none = F.expr(NO_NODES)
 
@@ -42,7 +42,7 @@ def schema_nodes(df: DataFrame, json_ld: str = "json_ld", out: str = "nodes") ->
         items = F.try_variant_get(n["node"], "$", "array<variant>")
         graph = F.try_variant_get(n["node"], "$['@graph']", "variant")
         step = _node(n["block"], F.concat(n["pointer"], F.lit("/@graph")), F.concat(n["ord"], F.lit("/@graph")), graph)
-        return F.coalesce(_indexed(n, F.slice(items, 1, 200)), F.when(graph.isNotNull(), F.array(step)), none)
+        return F.coalesce(_indexed(n, items), F.when(graph.isNotNull(), F.array(step)), none)
 
     walked = _levels(df, F.coalesce(roots, none), children, 8, out).drop("_deeper")
     return computed(walked, **{out: F.array_sort(F.filter(out, lambda n: F.to_json(n["node"]).startswith("{")), _by_order)})

@@ -88,16 +88,17 @@ def ordered(df: DataFrame, keys: list[Column]) -> DataFrame:
     return df.orderBy(*keys)
 
 
-def interleave(df: DataFrame, keys: list[str], family: str, rank: list[Column], first: list[str], limit: int) -> DataFrame:
+def interleave(df: DataFrame, keys: list[str], family: str, rank: list[Column], first: list[str], limit: int | None = None) -> DataFrame:
     """Alternate the families in ``first`` by rank, then everything else.
 
-    At most ``limit`` links per key and family enter (the crawl reads no more),
-    so each key holds a bounded number of rows when positions are given.
+    With ``limit`` at most so many links per key and family enter.
     """
     known = F.col(family).isin(*first)
     turn = F.when(known, F.array_position(F.array(*[F.lit(f) for f in first]), F.col(family))).otherwise(F.lit(99))
     rows = computed(df, _group=F.when(known, F.col(family)).otherwise(F.lit("")), _turn=turn)
-    ranked = cap(rows, [*keys, "_group"], rank, limit, rank="_rn")
+    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_group").orderBy(*rank)))
+    if limit is not None:
+        ranked = ranked.filter(F.col("_rn") <= limit)
     position = F.row_number().over(
         Window.partitionBy(*keys).orderBy(F.when(F.col("_turn") == 99, 1).otherwise(0), "_rn", "_turn")
     )

@@ -9,18 +9,23 @@ from .common import ORACLE, query, table
 from .derive import OBS_SQL
 
 
+#: Files of one micro-batch, written and read by as many tasks.
+FILES = 4
+
+
 def feed(spark, d, name, columns):
-    """The table as files that land one after the other in the order of the first column.
+    """The table as files that land in three lots, in the order of the first column between lots.
 
-    A file source reads files by their time, so three writes give three ordered micro-batches.
+    A file source reads files by their time, so three writes give three micro-batches; rows
+    inside a lot are dealt to its files round robin and are in no order.
     """
     path = scratch(spark, f"feed-{name}")
     rows = table(spark, d, name).select(*columns)
     at = F.col(columns[0]).cast("timestamp").cast("double") if columns[0] == "ts" else F.col(columns[0]).cast("double")
     low, high = rows.agg(F.percentile_approx(at, [0.33, 0.66])).first()[0]
     for part in (at <= low, (at > low) & (at <= high), at > high):
-        rows.filter(part).coalesce(1).write.mode("append").parquet(path)
-    return T.open_feed(spark, path, files_per_batch=1)
+        rows.filter(part).repartition(FILES).write.mode("append").parquet(path)
+    return T.open_feed(spark, path, files_per_batch=FILES)
 
 
 @query("t1_stream_changes", ORACLE["w7_change_history"])

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+#: Folders of intermediates that this process has named.
+WRITTEN: list[str] = []
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -62,7 +66,20 @@ def durable(df: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for written intermediates, on the shared checkpoint storage."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
+@contextmanager
+def released(spark: SparkSession):
+    """Remove, at the end, the intermediates written inside: for jobs whose results are stored elsewhere."""
+    start = len(WRITTEN)
+    try:
+        yield
+    finally:
+        while len(WRITTEN) > start:
+            forget(spark, WRITTEN.pop())
 
 
 def spread(df: DataFrame, scan: bool = True) -> DataFrame:

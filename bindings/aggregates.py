@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from vouchlake.functions import fixed
 from vouchlake.operators import rollups as A
 
-from .common import query, table
+from .common import query, sql_list, table
 from .derive import OBS_SQL, observations
 
 # event types as availability states
@@ -85,7 +86,7 @@ def _a6(spark, d):
 @query(
     "a7_rollup_state",
     f"""WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d %H') AS hour, {STATE_SQL} AS state FROM events),
-    r AS (SELECT *, list_position(['available','failed','blocked','ambiguous','not_available'], state) AS p FROM e)
+    r AS (SELECT *, list_position([{sql_list(fixed.STATE_PRIORITY)}], state) AS p FROM e)
     SELECT user_id, hour, arg_min(state, p) AS state FROM r GROUP BY 1, 2""",
 )
 def _a7(spark, d):

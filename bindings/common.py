@@ -8,6 +8,16 @@ from vouchlake.functions.canon import computed
 from vouchlake.functions.keys import check_digit
 from vouchlake.session import spread
 
+def sql_list(words) -> str:
+    """Words as SQL text literals, comma-joined."""
+    return ",".join(f"'{w}'" for w in words)
+
+
+def sql_pattern(pattern: str) -> str:
+    """A fixed pattern in the dialect of the SQL engine: case folding only, no Unicode classes flag."""
+    return pattern.replace("(?iU)", "(?i)")
+
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from vouchlake.functions import urls
+from vouchlake.functions import fixed, urls
 from vouchlake.plans import discovery as D, verification as V
 
-from .common import key_sql, org_key, query, table
+from .common import key_sql, org_key, query, sql_list, table
 
 
 def entities(spark, d):
@@ -198,8 +198,8 @@ def _c23(spark, d):
 
 @query(
     "c23_legal_availability",
-    f"""WITH {LEGAL_SQL}, p AS (SELECT k, min(list_position(['available','failed','blocked','ambiguous','not_available'], state)) AS r FROM s GROUP BY k)
-    SELECT k AS organisation_number, ['available','failed','blocked','ambiguous','not_available'][r] AS state FROM p UNION ALL SELECT n_name, 'not_available' FROM nation""",
+    f"""WITH {LEGAL_SQL}, p AS (SELECT k, min(list_position([{sql_list(fixed.STATE_PRIORITY)}], state)) AS r FROM s GROUP BY k)
+    SELECT k AS organisation_number, [{sql_list(fixed.STATE_PRIORITY)}][r] AS state FROM p UNION ALL SELECT n_name, 'not_available' FROM nation""",
 )
 def _c23a(spark, d):
     return legal(spark, d)[1].select("organisation_number", "state")

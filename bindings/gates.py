@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from vouchlake.functions import urls
+from vouchlake.functions import fixed, urls
 from vouchlake.functions.canon import computed
 from vouchlake.operators import gates as G
 
-from .common import query, table
+from .common import query, sql_list, sql_pattern, table
 
 PARTS_SQL = r"""p AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host,
   regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM pages),
@@ -76,8 +76,8 @@ def _p7(spark, d):
 @query(
     "p8_detail_links",
     rf"""WITH {LINKS_SQL}, t AS (SELECT page_id, href, lower(split_part(regexp_replace(regexp_replace(regexp_replace(href, '[?#].*$', ''), '^https?://[^/]*', ''), '/+$', ''), '/', -1)) AS tail FROM l)
-    SELECT page_id, href, count(*) AS n FROM t WHERE tail <> '' AND tail NOT IN ('about','om-oss','contact','kontakt','privacy','personvern','terms','vilkar','search','sok')
-      AND NOT regexp_matches(tail, '\.(css|js|jpe?g|png|gif|svg|webp|ico|pdf|zip)$') AND NOT regexp_matches(href, '[?&](q|search|query)=[^&#]') GROUP BY 1, 2""",
+    SELECT page_id, href, count(*) AS n FROM t WHERE tail <> '' AND tail NOT IN ({sql_list(fixed.UTILITY_TAILS)})
+      AND NOT regexp_matches(tail, '{fixed.ASSET_PATTERN}') AND NOT regexp_matches(href, '[?&](q|search|query)=[^&#]') GROUP BY 1, 2""",
 )
 def _p8(spark, d):
     return links(spark, d).filter(urls.detail_link_allowed("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
@@ -85,9 +85,9 @@ def _p8(spark, d):
 
 @query(
     "p9_link_priority",
-    rf"""WITH {LINKS_SQL}, k AS (SELECT unnest(range(13)) AS i, unnest(['nyheter','news','blogg','blog','aktuelt','press','karriere','careers','jobs','kontakt','contact','om-oss','about']) AS w),
+    rf"""WITH {LINKS_SQL}, k AS (SELECT unnest(range({len(fixed.LINK_WORDS)})) AS i, unnest([{sql_list(fixed.LINK_WORDS)}]) AS w),
     d AS (SELECT page_id, href, count(*) AS n FROM l GROUP BY 1, 2), m AS (SELECT page_id, href, n, min(i) AS hit FROM d LEFT JOIN k ON contains(lower(href), w) GROUP BY 1, 2, 3)
-    SELECT page_id, href, n, coalesce(hit, 13) AS priority, coalesce(hit, -1) AS story_priority FROM m""",
+    SELECT page_id, href, n, coalesce(hit, {len(fixed.LINK_WORDS)}) AS priority, coalesce(hit, -1) AS story_priority FROM m""",
 )
 def _p9(spark, d):
     g = links(spark, d).groupBy("page_id", "href").agg(F.count("*").alias("n"))
@@ -144,9 +144,9 @@ def _p16(spark, d):
 
 @query(
     "p17_mentions",
-    r"""WITH d AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' Søksmål med saksnummer: AB-' || doc_id || '/2024.' WHEN 1 THEN ' A lawsuit was filed.' WHEN 2 THEN ' Lawsuits differ.' ELSE '' END AS t FROM documents)
-    SELECT doc_id, regexp_matches(t, '(?i)\b(lawsuit|litigation|sued|court proceedings|court case|legal proceedings|søksmål|rettssak|saksnummer)\b') AS hit,
-      nullif(rtrim(regexp_extract(t, '(?i)\b(?:case\s+(?:no\.?|number)|saksnummer)\s*[:#]?\s*([A-Z0-9][A-Z0-9./-]{2,79})', 1), './-'), '') AS case_reference FROM d""",
+    rf"""WITH d AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' Søksmål med saksnummer: AB-' || doc_id || '/2024.' WHEN 1 THEN ' A lawsuit was filed.' WHEN 2 THEN ' Lawsuits differ.' ELSE '' END AS t FROM documents)
+    SELECT doc_id, regexp_matches(t, '{sql_pattern(fixed.LEGAL_TERM)}') AS hit,
+      nullif(rtrim(regexp_extract(t, '{sql_pattern(fixed.CASE_REFERENCE)}', 1), './-'), '') AS case_reference FROM d""",
 )
 def _p17(spark, d):
     k, num = F.col("doc_id"), F.col("doc_id").cast("string")

@@ -66,6 +66,7 @@ UTILITY_TAILS = (
 )
 ASSET_PATTERN = r"\.(?:css|js|jpe?g|png|gif|svg|webp|ico|pdf|zip)$"
 SEARCH_QUERY_PATTERN = r"(?:^|&)(?:q|search|query)=[^&]+"
+HOST_LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
 PRIVATE_SUFFIXES = (".local", ".localhost", ".internal", ".invalid")
 
 LABELLED_NUMBER = (

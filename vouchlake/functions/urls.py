@@ -10,7 +10,8 @@ from . import fixed
 
 PARTS = r"(?s)\A([a-zA-Z][a-zA-Z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?\z"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+LABEL = fixed.HOST_LABEL
+PRIVATE = rf"(?:{'|'.join(s.replace('.', chr(92) + '.') for s in fixed.PRIVATE_SUFFIXES)})\z"
 
 
 @F.pandas_udf(T.StringType())
@@ -67,7 +68,7 @@ def normalize_urls(df: DataFrame, column: str, idna: bool = True) -> DataFrame:
             F.lit("invalid_url"),
         )
         .when(host.rlike(rf"\A(?:{OCTET}\.){{3}}{OCTET}\z|\A\["), F.lit("ip_literals_not_allowed"))
-        .when(~F.contains(host, F.lit(".")) | host.rlike(r"\.(?:local|localhost|internal|invalid)\z"), F.lit("non_public_hostname"))
+        .when(~F.contains(host, F.lit(".")) | host.rlike(PRIVATE), F.lit("non_public_hostname"))
         .when((F.length(host) > 253) | ~host.rlike(rf"\A{LABEL}(?:\.{LABEL})*\z"), F.lit("invalid_hostname"))
     )
     out = computed(out, reject_reason=reject)

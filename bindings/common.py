@@ -38,16 +38,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def org_key(number):
-    """Nine-digit key of a small integer id; NULL where the stem has no check digit."""
-    stem = (F.lit(80000000) + number).cast("string")
-    return F.concat(stem, check_digit(stem).cast("string"))
+    """Nine-digit key of an integer id: an 8, seven digits and the check digit.
+
+    Where that stem has no check digit a 9 leads instead; its weight shifts the sum by 3,
+    so one of the two always has one.
+    """
+    at = lambda lead: (F.lit(lead * 10_000_000) + number).cast("string")
+    key = lambda lead: F.concat(at(lead), check_digit(at(lead)).cast("string"))
+    return F.coalesce(key(8), key(9))
 
 
 def key_sql(k: str) -> str:
-    s = f"(80000000+{k})"
-    weighted = "+".join(f"{w}*(({s}//{10 ** (7 - i)})%10)" for i, w in enumerate((3, 2, 7, 6, 5, 4, 3, 2)))
-    r = f"(11-({weighted})%11)"
-    return f"(CASE {r} WHEN 10 THEN NULL WHEN 11 THEN {s}::VARCHAR||'0' ELSE {s}::VARCHAR||({r})::VARCHAR END)"
+    def one(lead: int) -> str:
+        s = f"({lead * 10_000_000}+{k})"
+        weighted = "+".join(f"{w}*(({s}//{10 ** (7 - i)})%10)" for i, w in enumerate((3, 2, 7, 6, 5, 4, 3, 2)))
+        r = f"(11-({weighted})%11)"
+        return f"(CASE {r} WHEN 10 THEN NULL WHEN 11 THEN {s}::VARCHAR||'0' ELSE {s}::VARCHAR||({r})::VARCHAR END)"
+
+    return f"coalesce({one(8)}, {one(9)})"
 
 
 def registry_responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,10 @@ from vouchlake.llm.components import stored
 
 BLOCK = 4096
 CHUNK = 4096
+#: Queries that meet a chunk at a time, so that a product stays in the processor's cache.
+ROWS = 256
+PAIRS = 4096
+FIRST = 4
 SIGMA = 3.0
 INDEX = "vec_id long, vector array<double>, code binary, length double, fit double"
 FOUND = "query_id long, vec_id long, score double"
@@ -88,31 +92,49 @@ def _exact(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray) -> np.n
     return out
 
 
+class Best:
+    """The k best (vec_id, score) of each query so far; ``bar`` is the k-th score, or minus infinity."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.query, self.vec, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.bar = np.full(n, -np.inf)
+
+    def add(self, query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
+        query, vec, score = (np.concatenate(x) for x in ((self.query, query), (self.vec, vec), (self.score, score)))
+        order = np.lexsort((vec, -score, query))
+        query, vec, score = query[order], vec[order], score[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.query, self.vec, self.score = query[keep], vec[keep], score[keep]
+        counts = np.bincount(self.query, minlength=self.n)
+        full = counts >= self.k
+        self.bar[full] = self.score[(np.cumsum(counts) - 1)[full]]
+
+
 def _search_task(shared, dim: int, k: int):
     names = ["query_id", "vec_id", "score"]
 
     def run(batches):
         ids, q, mean, turn = shared.value
         n = len(ids)
-        turned = (q @ turn.T).astype(np.float32)
-        centre = (q @ mean).astype(np.float32)
-        q_length = np.linalg.norm(q, axis=1).astype(np.float32)
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query number, vec_id, score
-        least = np.full(n, -np.inf)
-
-        def better(more):
-            """Keep the k best of each query, best first, smaller vec_id first among equals."""
-            nonlocal held
-            qi, vec, score = (np.concatenate(x) for x in zip(held, more))
-            order = np.lexsort((vec, -score, qi))
-            qi, vec, score = qi[order], vec[order], score[order]
-            first = np.searchsorted(qi, qi)
-            keep = np.arange(len(qi)) - first < k
-            held = qi[keep], vec[keep], score[keep]
-            counts = np.bincount(held[0], minlength=n)
-            last = np.cumsum(counts) - 1
-            full = counts >= k
-            least[full] = held[2][last[full]]
+        # Rotated queries, then the factors of a code's offset and error bound: one product gives estimate plus bound.
+        left = np.c_[q @ turn.T, q @ mean, np.linalg.norm(q, axis=1)].astype(np.float32)
+        q_single = q.astype(np.float32)
+        by_id = np.argsort(ids)
+        best = Best(n, k)
+
+        def compare(rows: np.ndarray, xi: np.ndarray, vec: np.ndarray, x: np.ndarray, x_single: np.ndarray, room: np.ndarray) -> None:
+            low = best.bar.astype(np.float32) - room
+            # A fast product sifts, in pieces that stay in cache; what may reach the bar is summed in order.
+            near = []
+            for piece in range(0, len(rows), PAIRS):
+                r, c = rows[piece : piece + PAIRS], xi[piece : piece + PAIRS]
+                near.append(np.einsum("ij,ij->i", q_single[r], x_single[c]) >= low[r])
+            near = np.concatenate(near) if near else np.zeros(0, bool)
+            rows, xi = rows[near], xi[near]
+            score = _exact(q, x, rows, xi)
+            good = score >= best.bar[rows]
+            best.add(rows[good], vec[xi[good]], score[good])
 
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
@@ -122,32 +144,33 @@ def _search_task(shared, dim: int, k: int):
                 packed = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(vec), -1)
                 length, fit = (part.column(c).to_numpy(zero_copy_only=False) for c in (3, 4))
                 signs = np.unpackbits(packed, axis=1, count=dim).astype(np.float32) * 2 - 1
-                estimate = turned @ signs.T
-                estimate *= (length / (fit * np.sqrt(dim))).astype(np.float32)
-                estimate += centre[:, None]
-                own = ids[:, None] == vec[None, :]
-                estimate[own] = -np.inf
-                slack = (length * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * SIGMA / np.sqrt(max(dim - 1, 1))).astype(np.float32)
-                if not np.isfinite(least).all():
-                    # A first bar: exact scores of the k best estimates.
-                    top = np.argpartition(-estimate, min(k, len(vec)) - 1, axis=1)[:, :k]
-                    qi, xi = np.repeat(np.arange(n), top.shape[1]), top.ravel()
-                    score = _exact(q, x, qi, xi)
-                    score[own[qi, xi]] = -np.inf
-                    bar = np.sort(score.reshape(n, -1), axis=1)[:, 0] if top.shape[1] == k else np.full(n, -np.inf)
-                    bar = np.maximum(bar, least)
-                else:
-                    bar = least
-                # Room for the single precision of the estimates.
-                reach = estimate + q_length[:, None] * (slack + 1e-5 * (length + np.linalg.norm(mean)).astype(np.float32))[None, :]
-                qi, xi = np.nonzero((reach >= bar[:, None].astype(np.float32)) & ~own)
-                if len(qi):
-                    score = _exact(q, x, qi, xi)
-                    good = score >= bar[qi]
-                    better((qi[good], vec[xi[good]], score[good]))
-        for at in range(0, len(held[0]), 1 << 16):
+                estimate = np.c_[signs * (length / (fit * np.sqrt(dim)))[:, None], np.ones(len(vec))]
+                # The last term is room for the single precision of the product.
+                slack = length * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * SIGMA / np.sqrt(max(dim - 1, 1)) + 1e-5 * (length + np.linalg.norm(mean))
+                x_single = x.astype(np.float32)
+                room = (1e-5 * left[:, -1] * np.linalg.norm(x, axis=1).max()).astype(np.float32)
+                right = np.ascontiguousarray(np.c_[estimate, slack].T.astype(np.float32))
+                # Where a query meets itself.
+                found = np.minimum(np.searchsorted(ids, vec, sorter=by_id), n - 1)
+                self_row = np.where(ids[by_id[found]] == vec, by_id[found], -1)
+                for top in range(0, n, ROWS):
+                    rows = np.arange(top, min(n, top + ROWS))
+                    reach = left[rows] @ right
+                    own = np.flatnonzero((self_row >= top) & (self_row < top + ROWS))
+                    reach[self_row[own] - top, own] = -np.inf
+                    if not np.isfinite(best.bar[rows]).all():
+                        # A first bar: exact scores of those that reach highest, some times k.
+                        first = np.argpartition(-reach, min(FIRST * k, len(vec)) - 1, axis=1)[:, : FIRST * k]
+                        r, c = np.repeat(np.arange(len(rows)), first.shape[1]), first.ravel()
+                        real = np.isfinite(reach[r, c])
+                        compare(rows[r[real]], c[real], vec, x, x_single, room)
+                        reach[r, c] = -np.inf
+                    r, c = np.nonzero(reach >= best.bar[rows].astype(np.float32)[:, None])
+                    real = np.isfinite(reach[r, c])
+                    compare(rows[r[real]], c[real], vec, x, x_single, room)
+        for at in range(0, len(best.query), 1 << 16):
             part = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[held[0][part]]), pa.array(held[1][part]), pa.array(held[2][part])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best.query[part]]), pa.array(best.vec[part]), pa.array(best.score[part])], names)
 
     return run
 

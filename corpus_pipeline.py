@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vouchlake.llm import bpe, decontaminate, language, secrets, simhash
-from vouchlake.session import scratch
+from vouchlake.session import forget, released, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        # What a stage stores on its way goes once its result is written.
+        with released(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            forget(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

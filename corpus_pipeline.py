@@ -42,7 +42,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    out = bpe.decode(bpe.encode(docs, path), path)
+    out = bpe.encode(docs, path, decoded=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from vouchlake.llm import bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+SPELLED = bpe.Vocabulary(PATH).spelled()
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,7 @@ def same(vocabulary, library, texts):
     for text, ids in zip(texts, vocabulary.encode(texts)):
         want = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, text
-        assert vocabulary.decode(ids).decode() == library.decode(want, skip_special_tokens=False) == text
+        assert bpe.decode_ids(SPELLED, ids).decode() == library.decode(want, skip_special_tokens=False) == text
 
 
 @settings(max_examples=200, deadline=None)
@@ -54,4 +55,5 @@ def test_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     out = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert sorted((str(r.doc_id), r.decoded) for r in out) == sorted((str(a), b or "") for a, b, _ in rows)
+    assert sorted(map(str, bpe.encode(docs, PATH, decoded=True).collect())) == sorted(map(str, out))
     assert bpe.decode(bpe.encode(docs.limit(0), PATH), PATH).count() == 0

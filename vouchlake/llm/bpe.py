@@ -32,10 +32,10 @@ from vouchlake.llm.common import bounded_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points outside blocks whose letter and number classes have long been settled.
 RARE = re.compile("[^\x00-\u0557\u1e00-\u1fff\u2000-\u206f\u20a0-\u20bf\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f64f]")
-#: Words and token pairs that a worker remembers; beyond it starts anew.
-REMEMBER = 300_000
+#: Words and token pairs in a generation of a worker's memory.
+REMEMBER = 150_000
 #: Letters of the texts whose words share one walk.
-TOGETHER = 2_000_000
+TOGETHER = 1_500_000
 
 
 def byte_letters() -> list[str]:
@@ -65,6 +65,11 @@ class Vocabulary:
         self.vocab = model["vocab"]
         self.ready = False
 
+    def spelled(self) -> dict[int, bytes]:
+        """The bytes of every token id, added tokens as they are written."""
+        back = {c: bytes([b]) for b, c in enumerate(byte_letters())}
+        return {i: b"".join(back[c] for c in n) for n, i in self.vocab.items() if n not in self.added} | {i: c.encode() for c, i in self.added.items()}
+
     def prepare(self) -> "Vocabulary":
         """Tables of this process; a worker builds them once."""
         if self.ready:
@@ -86,13 +91,12 @@ class Vocabulary:
         raw = [b"".join(back[c] for c in n) for n in names]
         self.rank_of = {r: k for k, r in enumerate(raw)}
         self.size_of = list(map(len, raw))
-        self.bytes_of = {self.vocab[n]: r for n, r in zip(names, raw) if n in self.vocab}
-        self.bytes_of |= {i: c.encode() for c, i in self.added.items()}
-        self.pairs: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
+        # Two generations each: what is still in use moves to the younger, the older one goes.
+        self.pairs, self.older_pairs = {}, {}
+        self.words, self.older = {}, {}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pattern = regex.compile(PATTERN)
-        self.ready = True
+        self.ready, self.merges, self.vocab = True, None, None
         return self
 
     def follows(self, a: int, b: int) -> bool:
@@ -102,6 +106,10 @@ class Vocabulary:
         merged before the next undone step, they would have.
         """
         key = a << 32 | b
+        known = self.pairs.get(key, self.older_pairs.get(key))
+        if known is not None:
+            self.pairs[key] = known
+            return known
         left, right, merged = self.left, self.right, self.merged
         limit, ok = len(left) + 1, True
         while True:
@@ -119,7 +127,7 @@ class Vocabulary:
             else:
                 break
         if len(self.pairs) > REMEMBER:
-            self.pairs.clear()
+            self.older_pairs, self.pairs = self.pairs, {}
         self.pairs[key] = ok
         return ok
 
@@ -200,48 +208,55 @@ class Vocabulary:
             # Odd pieces are added tokens; a tuple is never a word.
             cut.append([x for k, piece in enumerate(pieces) for x in ([(piece,)] if k % 2 else self.split(piece))] if len(pieces) > 1 else self.split(text))
         if len(self.words) > REMEMBER:
-            self.words.clear()
+            self.older, self.words = self.words, {}
         self.words.update({(c,): np.uint32(i).tobytes() for c, i in self.added.items()})
-        self.learn(list(set().union(*cut).difference(self.words)))
+        unknown = set().union(*cut).difference(self.words)
+        known = unknown.intersection(self.older)
+        self.words.update((w, self.older[w]) for w in known)
+        self.learn(list(unknown - known))
         return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
-    def decode(self, ids: bytes) -> bytes:
-        """UTF-8 bytes of the text of packed ids; what is no UTF-8 becomes U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+def decode_ids(spelled: dict[int, bytes], ids: bytes) -> bytes:
+    """UTF-8 bytes of the text of packed ids; what is no UTF-8 becomes U+FFFD."""
+    raw = b"".join(map(spelled.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace").encode()
+    return raw
 
-def _vocabulary(df: DataFrame, path: str):
-    return bounded_batches(df).sparkContext.broadcast(Vocabulary(path))
 
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) of each document: token ids packed as little-endian unsigned 32-bit integers.
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) of each document: token ids packed as little-endian unsigned 32-bit integers."""
-    shared = _vocabulary(docs, path)
+    With ``decoded`` a third column holds the text that the ids decode to, as ``decode``
+    gives it, without another pass through Python.
+    """
+    vocabulary = Vocabulary(path)
+    shared = bounded_batches(docs).sparkContext.broadcast((vocabulary, vocabulary.spelled() if decoded else None))
 
     def run(batches):
-        vocabulary = shared.value.prepare()
+        vocabulary, spelled = shared.value
+        vocabulary.prepare()
         for batch in batches:
             ids = vocabulary.encode([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            columns = [batch.column(0), pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array([decode_ids(spelled, x) for x in ids], pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, docs.select("doc_id", F.lit(b"").alias("ids")).schema)
+    out = docs.select("doc_id", F.lit(b"").alias("ids"), *([F.lit("").alias("decoded")] if decoded else [])).schema
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, out)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): the text of packed ids, special tokens included."""
-    shared = _vocabulary(encoded, path)
+    shared = bounded_batches(encoded).sparkContext.broadcast(Vocabulary(path).spelled())
 
     def run(batches):
-        vocabulary = shared.value.prepare()
         for batch in batches:
-            out = []
-            for ids in batch.column(1):
-                raw = vocabulary.decode(ids.as_buffer().to_pybytes()) if ids.is_valid else b""
-                try:
-                    raw.decode()
-                except UnicodeDecodeError:
-                    raw = raw.decode("utf-8", "replace").encode()
-                out.append(raw)
+            out = [decode_ids(shared.value, ids.as_buffer().to_pybytes()) if ids.is_valid else b"" for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = encoded.select("doc_id", "ids")

@@ -72,7 +72,7 @@ def op7(spark, sf_dir):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    out = bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

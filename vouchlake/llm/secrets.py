@@ -1,11 +1,14 @@
 """Secret scan: fixed patterns, and a randomness test battery for what they do not name.
 
 Patterns give the base spans. Beside them, every run of ``RUN`` or more token characters
-that touches no base span is a candidate. Its encoding is inferred from the characters it
-holds (hexadecimal, base32, letters of one case, letters and digits, base64). Under the
+that touches no base span is a candidate. It is read in several ways: whole, each part
+between ``/``, ``=`` and ``+``, and of each of these also the characters without the
+separators ``-`` and ``_``, and those after leading words (a prefix such as ``sk_live_``).
+The encoding of a reading is the smallest alphabet that holds its characters. Under the
 hypothesis that it is random in that encoding three tests give deviations: chi-squared
 uniformity over the alphabet, runs above and below the alphabet's middle, and serial
-correlation of neighbours. A candidate that any test rejects is no secret.
+correlation of neighbours. A candidate of which every reading is rejected by a test is no
+secret; else its evidence is that of the best reading left, less for the number of readings.
 
 Short tokens pass such tests by chance, so evidence is weighed by length: under the
 hypothesis of ordinary writing (coincidences as frequent as in text, few changes between
@@ -47,14 +50,27 @@ PAIR, TRIPLE, CHANGE = 0.0667, 0.0056, 0.05
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGITS = "0123456789"
-#: Alphabets by inferred encoding: name, pattern of the whole token, letters in order.
+#: Alphabets by inferred encoding, smallest first: name, pattern of the whole reading, letters in order.
+CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 ENCODINGS = (
     ("hex", "^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef"),
-    ("base32", "^[A-Z2-7]+=*$", LETTERS + "234567"),
+    ("upper", "^[A-Z]+$", LETTERS),
     ("lower", "^[a-z]+$", LETTERS.lower()),
+    ("base32", "^[A-Z2-7]+$", LETTERS + "234567"),
+    ("base32_lower", "^[a-z2-7]+$", LETTERS.lower() + "234567"),
+    ("base32hex", "^[0-9A-V]+$", DIGITS + LETTERS[:22]),
+    ("base32hex_lower", "^[0-9a-v]+$", DIGITS + LETTERS[:22].lower()),
+    ("crockford", "^[0-9A-HJKMNP-TV-Z]+$", CROCKFORD),
+    ("crockford_lower", "^[0-9a-hjkmnp-tv-z]+$", CROCKFORD.lower()),
+    ("base36", "^[A-Z0-9]+$", LETTERS + DIGITS),
+    ("base36_lower", "^[a-z0-9]+$", LETTERS.lower() + DIGITS),
+    ("base58", "^[1-9A-HJ-NP-Za-km-z]+$", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz123456789"),
     ("alnum", "^[A-Za-z0-9]+$", LETTERS + LETTERS.lower() + DIGITS),
     ("base64", "^.*$", LETTERS + LETTERS.lower() + DIGITS + "+/"),
 )
+#: Least characters of a reading, and a leading word of a prefix.
+READING = 16
+WORD = "^[A-Za-z]*[0-9]{0,2}$"
 
 
 def _places(text: Column, pattern: str, kind: int) -> Column:
@@ -94,31 +110,48 @@ def _tail(z: Column) -> Column:
     return F.when(z >= 0, -upper).otherwise(-F.log1p(-F.exp(upper))) / F.lit(2.302585092994046)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _measures(token: Column, name: Column, alphabet: Column) -> Column:
     """Deviations of the battery under randomness and the evidence against ordinary writing."""
     n = F.length(token).cast("double")
     size = F.length(alphabet).cast("double")
     chars = F.filter(F.split(token, ""), lambda c: c != "")
-    counts = F.transform(F.array_distinct(chars), lambda c: n - F.length(F.replace(token, c, F.lit(""))))
-    squares = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c)
+    squares = F.aggregate(F.transform(F.array_distinct(chars), lambda c: n - F.length(F.replace(token, c, F.lit("")))), F.lit(0.0), lambda s, c: s + c * c)
+    return _let(squares, lambda q: _let(_sides(token, alphabet), lambda sides: _battery(token, name, alphabet, n, size, q, sides, _serial(chars, n))))
+
+
+def _sides(token: Column, alphabet: Column) -> Column:
+    half = (F.length(alphabet) / 2).cast("int")
+    sides = F.call_function("translate", token, alphabet, F.concat(F.repeat(F.lit("0"), half), F.repeat(F.lit("1"), F.length(alphabet) - half)))
+    return F.regexp_replace(sides, "[^01]", "1")
+
+
+def _serial(chars: Column, n: Column) -> Column:
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+
+    def correlated(away):
+        square = total(F.transform(away, lambda x: x * x))
+        product = total(F.zip_with(F.slice(away, 1, F.size(away) - 1), F.slice(away, 2, F.size(away)), lambda x, y: x * y))
+        return _let(square, lambda q: F.when(q > 0, product / q * F.sqrt(n)).otherwise(F.lit(99.0)))
+
+    codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
+    return _let(codes, lambda cs: _let(total(cs) / n, lambda mean: _let(F.transform(cs, lambda x: x - mean), correlated)))
+
+
+def _battery(token: Column, name: Column, alphabet: Column, n: Column, size: Column, squares: Column, sides: Column, serial: Column) -> Column:
     # Chi-squared by the cube root of Wilson and Hilferty.
     free = size - 1
     uniform = (F.pow(F.greatest(size * squares / n - n, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
-    half = (size / 2).cast("int")
-    sides = F.call_function("translate", token, alphabet, F.concat(F.repeat(F.lit("0"), half), F.repeat(F.lit("1"), F.length(alphabet) - half)))
-    sides = F.regexp_replace(sides, "[^01]", "1")
     times = lambda text, part: (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
     ones = times(sides, "1")
     runs = 1 + times(sides, "01") + times(sides, "10")
     expected = 1 + 2 * ones * (n - ones) / n
     spread = (expected - 1) * (expected - 2) / (n - 1)
     run_z = F.when(spread > 0, (runs - expected) / F.sqrt(spread)).otherwise(F.lit(99.0))
-    codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
-    mean = F.aggregate(codes, F.lit(0.0), lambda s, x: s + x) / n
-    away = F.transform(codes, lambda x: x - mean)
-    square = F.aggregate(away, F.lit(0.0), lambda s, x: s + x * x)
-    product = F.aggregate(F.zip_with(F.slice(away, 1, F.size(away) - 1), F.slice(away, 2, F.size(away)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    serial = F.when(square > 0, product / square * F.sqrt(n)).otherwise(F.lit(99.0))
     passed = (uniform <= REJECT) & (F.abs(run_z) <= REJECT) & (F.abs(serial) <= REJECT)
     # Ordinary writing: coincidences (squares - n) / (n (n - 1)) and class changes.
     coincide = (squares - n) / (n * (n - 1))
@@ -127,7 +160,7 @@ def _measures(token: Column, name: Column, alphabet: Column) -> Column:
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(classes, "U+", "U"), "l+", "l"), "9+", "9")
     change_z = (F.length(classes) - 1 - (n - 1) * CHANGE) / F.sqrt((n - 1) * CHANGE * (1 - CHANGE))
     evidence = _tail((coincide_z + change_z) / F.sqrt(F.lit(2.0)))
-    return F.struct(passed.alias("passed"), F.floor(F.least(evidence * 20, F.lit(float(BINS)))).cast("int").alias("bin"), name.alias("encoding"))
+    return F.struct(passed.alias("passed"), evidence.alias("evidence"), name.alias("encoding"))
 
 
 def _encoding(token: Column) -> tuple[Column, Column]:
@@ -139,15 +172,45 @@ def _encoding(token: Column) -> tuple[Column, Column]:
     return name, alphabet
 
 
+def _readings(token: Column) -> Column:
+    """Texts that may hold the random part of a run, each once: see the module's text."""
+    whole = F.rtrim(token, F.lit("="))
+    bodies = F.concat(F.array(whole), F.split(whole, "[/=+]+"))
+
+    def read(body):
+        parts = F.split(body, "[-_]+")
+        first = F.array_position(F.transform(parts, lambda p: ~p.rlike(WORD)), F.lit(True)).cast("int")
+        behind = F.when(first > 0, F.slice(parts, first, F.size(parts))).otherwise(F.slice(parts, -1, 1))
+        return F.array(body, F.array_join(parts, ""), F.array_join(behind, ""))
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(bodies, read)), lambda r: F.length(r) >= READING))
+
+
+def _judged(token: Column) -> Column:
+    """The best reading: one that passed before others, then by evidence."""
+    def best(readings):
+        named = F.transform(readings, lambda r: F.struct(r.alias("r"), *[c.alias(k) for k, c in zip(("name", "alphabet"), _encoding(r), strict=True)]))
+        # One of several readings is best by chance more often: its probability counts once for each.
+        paid = F.log10(F.size(readings).cast("double"))
+        measured = F.transform(named, lambda x: _measures(x["r"], x["name"], x["alphabet"]))
+        return F.array_max(F.transform(measured, lambda m: F.struct(m["passed"].alias("passed"), (m["evidence"] - paid).alias("evidence"), m["encoding"].alias("encoding"))))
+
+    return _let(_readings(token), best)
+
+
 def _candidates(text: Column, base: Column) -> Column:
     found = _when_found(text, CANDIDATE, _places(text, CANDIDATE, 3))
     free = F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
     def measured(c):
-        m = _measures(c["value"], *_encoding(c["value"]))
-        return F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), m["passed"].alias("passed"), m["bin"].alias("bin"), m["encoding"].alias("encoding"))
+        return F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), _judged(c["value"]).alias("m"))
+
+    def binned(c):
+        n = F.floor(F.greatest(F.least(c["m"]["evidence"] * 20, F.lit(float(BINS))), F.lit(0.0))).cast("int")
+        passed = F.coalesce(c["m"]["passed"], F.lit(False))
+        return F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), passed.alias("passed"), F.coalesce(n, F.lit(0)).alias("bin"), c["m"]["encoding"].alias("encoding"))
 
-    return F.coalesce(F.transform(free, measured), F.expr("cast(array() as array<struct<start:int,kind:int,end:int,passed:boolean,bin:int,encoding:string>>)"))
+    return F.coalesce(F.transform(F.transform(free, measured), binned), F.expr("cast(array() as array<struct<start:int,kind:int,end:int,passed:boolean,bin:int,encoding:string>>)"))
 
 
 def _least_bin(bins: DataFrame) -> int:

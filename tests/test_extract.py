@@ -92,6 +92,16 @@ def test_walk_fails_rather_than_cutting(spark):
         walk.walk_json(docs(spark, deep), "body", ["evidence_id"], depth=5, only_objects=False).collect()
 
 
+def test_walks_reach_every_depth(spark):
+    rows = lambda n: [(n, '[{"@type":"T","@graph":' * n + '{"@type":"Last"}' + "}]" * n)]
+    df = spark.createDataFrame([*rows(1), *rows(4), *rows(5), *rows(20), *rows(100)], "n int, ld string")
+    nodes = walk.explode_nodes(walk.schema_nodes(df.select("n", F.array("ld").alias("json_ld"))), ["n"])
+    found = {r.n: (r.c, r.p) for r in nodes.groupBy("n").agg(F.count("*").alias("c"), F.max_by("pointer", F.length("pointer")).alias("p")).collect()}
+    assert found == {n: (n + 1, "/0/@graph" * n) for n in (1, 4, 5, 20, 100)}
+    walked = walk.walk_json(df, "ld", ["n"]).groupBy("n").agg(F.count("*").alias("c"), F.max_by("pointer", F.length("pointer")).alias("p")).collect()
+    assert {r.n: (r.c, r.p) for r in walked} == found
+
+
 def test_page_features_details(spark):
     html = (
         "<title>A &amp; B</title><script type='application/ld+json'>{\"@type\":\"X\"}</script><SCRIPT type=application/ld+json>{bad</SCRIPT><noscript><a href=/no>n</a></noscript>"

@@ -41,7 +41,7 @@ def as_claims(df: DataFrame, **columns) -> DataFrame:
 def account_statements(responses: DataFrame, body: str = "body") -> DataFrame:
     """Account records under any wrapper, usable ones only, conflicts removed."""
     is_record = lambda n: _key_json(n, "regnskapsperiode").startswith("{") & _key_json(n, "virksomhet").startswith("{")
-    nodes = walk_json(responses, body, ["organisation_number", "evidence_id"], depth=16, stop=is_record)
+    nodes = walk_json(responses, body, ["organisation_number", "evidence_id"], stop=is_record)
     node = F.col("node")
     at = lambda path: unquoted(node_json(node, f"$.{path}"))
     rows = computed(
@@ -89,7 +89,7 @@ def extract_financials(responses: DataFrame, body: str = "body") -> DataFrame:
 def extract_financials_v1(responses: DataFrame, body: str = "body") -> DataFrame:
     """Revenue only, last record per end date and type, kept so that old evidence stays checkable."""
     is_record = lambda n: _key_json(n, "regnskapsperiode").startswith("{") & _key_json(n, "virksomhet").startswith("{")
-    nodes = walk_json(responses, body, ["organisation_number", "evidence_id"], depth=16, stop=is_record)
+    nodes = walk_json(responses, body, ["organisation_number", "evidence_id"], stop=is_record)
     node = F.col("node")
     at = lambda path: unquoted(node_json(node, f"$.{path}"))
     rows = computed(
@@ -115,7 +115,7 @@ def extract_financials_v1(responses: DataFrame, body: str = "body") -> DataFrame
 
 def extract_roles(responses: DataFrame, body: str = "body", version: str = "registry_roles_v2") -> DataFrame:
     """People and their roles; nothing else of the person leaves the record."""
-    nodes = walk_json(responses, body, ["organisation_number", "evidence_id"], depth=16)
+    nodes = walk_json(responses, body, ["organisation_number", "evidence_id"])
     node = F.col("node")
     part = lambda k: F.nullif(F.trim(unquoted(node_json(node, f"$.person.navn.{k}"))), F.lit(""))
     rows = computed(nodes, name=F.concat_ws(" ", part("fornavn"), part("mellomnavn"), part("etternavn")), role=F.trim(unquoted(node_json(node, "$.type.beskrivelse"))))
@@ -131,7 +131,7 @@ def extract_roles(responses: DataFrame, body: str = "body", version: str = "regi
 
 def extract_locations(responses: DataFrame, body: str = "body", version: str = "registry_subunits_v2") -> DataFrame:
     """Named sub-units whose parent is exactly the requested entity."""
-    nodes = walk_json(responses, body, ["organisation_number", "evidence_id"], depth=16)
+    nodes = walk_json(responses, body, ["organisation_number", "evidence_id"])
     node = F.col("node")
     filled = lambda k: F.when(~F.coalesce(node_json(node, f"$.{k}"), F.lit("null")).isin("null", '""', "[]", "{}", "0", "false"), node_json(node, f"$.{k}"))
     address = F.coalesce(filled("beliggenhetsadresse"), filled("forretningsadresse"), F.lit("{}"))

@@ -23,18 +23,35 @@ def _indexed(parent: Column, items: Column) -> Column:
     )
 
 
-def _levels(df: DataFrame, roots: Column, children, depth: int, out: str) -> DataFrame:
-    """Column ``out`` with the nodes of all levels 0..depth and ``_deeper`` with the level below."""
+def _levels(df: DataFrame, roots: Column, children, depth: int, out: str, text: Column | None = None) -> DataFrame:
+    """Column ``out`` with the nodes of levels 0..depth and ``_deeper`` with the size of the level below.
+
+    Given ``text`` (the JSON walked), what lies deeper is in ``out`` as well.
+    """
     df = computed(df, _l0=roots)
     for level in range(depth + 1):
         df = computed(df, **{f"_l{level + 1}": F.flatten(F.transform(f"_l{level}", children))})
     names = [f"_l{level}" for level in range(depth + 1)]
-    df = computed(df, **{out: F.concat(*names), "_deeper": F.size(f"_l{depth + 1}")})
-    return df.drop(*names, f"_l{depth + 1}")
+    last = f"_l{depth + 1}"
+    rest = [] if text is None else [F.when(F.size(last) > 0, _below(F.col(last), children, text)).otherwise(F.expr(NO_NODES))]
+    df = computed(df, **{out: F.concat(*names, *rest), "_deeper": F.size(last)})
+    return df.drop(*names, last)
+
+
+def _below(level: Column, children, text: Column) -> Column:
+    """A level and all below it. Each level opens a bracket of the text, so its brackets are steps enough."""
+    brackets = F.length(text) - F.length(F.translate(text, "[{", ""))
+    start = F.struct(F.expr(NO_NODES).alias("seen"), level.alias("level"))
+
+    def step(s, _):
+        below = F.struct(F.concat(s["seen"], s["level"]).alias("seen"), F.flatten(F.transform(s["level"], children)).alias("level"))
+        return F.when(F.size(s["level"]) > 0, below).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(0), brackets), start, step, lambda s: s["seen"])
 
 
 def schema_nodes(df: DataFrame, json_ld: str = "json_ld", out: str = "nodes") -> DataFrame:
-    """X8 as a column: objects of each JSON-LD block; only lists and @graph are entered."""
+    """X8 as a column: objects of each JSON-LD block at any depth; only lists and @graph are entered."""
     roots = F.transform(json_ld, lambda b, i: _node(i, F.lit(""), F.lpad(i.cast("string"), 8, "0"), F.try_parse_json(b)))
     none = F.expr(NO_NODES)
 
@@ -44,7 +61,7 @@ def schema_nodes(df: DataFrame, json_ld: str = "json_ld", out: str = "nodes") ->
         step = _node(n["block"], F.concat(n["pointer"], F.lit("/@graph")), F.concat(n["ord"], F.lit("/@graph")), graph)
         return F.coalesce(_indexed(n, items), F.when(graph.isNotNull(), F.array(step)), none)
 
-    walked = _levels(df, F.coalesce(roots, none), children, 8, out).drop("_deeper")
+    walked = _levels(df, F.coalesce(roots, none), children, 8, out, F.array_join(json_ld, "")).drop("_deeper")
     return computed(walked, **{out: F.array_sort(F.filter(out, lambda n: F.to_json(n["node"]).startswith("{")), _by_order)})
 
 
@@ -73,10 +90,11 @@ def has_type(node, names) -> Column:
     return F.arrays_overlap(node_types(node), F.array(*[F.lit(n) for n in names]))
 
 
-def walk_json(df: DataFrame, column: str, keep: list[str], depth: int = 12, stop=None, only_objects: bool = True) -> DataFrame:
+def walk_json(df: DataFrame, column: str, keep: list[str], depth: int | None = None, stop=None, only_objects: bool = True) -> DataFrame:
     """Every node of a JSON text with its pointer, in document order.
 
-    Nothing is cut off: a document nested deeper than ``depth`` fails the job.
+    Nothing is cut off: without ``depth`` every level is walked, with it a document
+    nested deeper fails the job.
     ``stop(node)`` marks nodes whose inside is not entered.
     """
     none = F.expr(NO_NODES)
@@ -94,8 +112,9 @@ def walk_json(df: DataFrame, column: str, keep: list[str], depth: int = 12, stop
         inside = F.coalesce(_indexed(n, items), named, none)
         return inside if stop is None else F.when(F.coalesce(stop(n["node"]), F.lit(False)), none).otherwise(inside)
 
-    walked = _levels(df.select(*keep, column), F.coalesce(roots, none), children, depth, "_nodes")
-    guard = F.when(F.col("_deeper") > 0, F.raise_error(F.lit("json_nested_too_deep")).cast("string"))
+    whole = depth is None
+    walked = _levels(df.select(*keep, column), F.coalesce(roots, none), children, 12 if whole else depth, "_nodes", F.col(column) if whole else None)
+    guard = F.when(F.lit(not whole) & (F.col("_deeper") > 0), F.raise_error(F.lit("json_nested_too_deep")).cast("string"))
     rows = walked.withColumn("_guard", guard).filter(F.col("_guard").isNull()).select(*keep, F.explode("_nodes").alias("_n"))
     rows = computed(rows.select(*keep, "_n.pointer", "_n.ord", "_n.node"), node_json=F.to_json("node"))
     return rows.filter(F.col("node_json").startswith("{")) if only_objects else rows

@@ -102,7 +102,7 @@ def _c18(spark, d):
     site = F.concat(F.lit("https://c"), "organisation_number", F.lit(".example.com"))
     page = lambda name, path, at: F.when(F.col("v") >= at, F.struct(F.concat(site, F.lit(path)).alias("page_url"), F.lit(path == "/").alias("is_root"), F.array(*[F.lit(x) for x in FRONTIER_LINKS[name]]).alias("links")))
     rows = c.select("organisation_number", F.explode(F.filter(F.array(page("root", "/", 0), page("news", "/news", 1), page("jobs", "/karriere", 2)), lambda x: x.isNotNull())).alias("p"))
-    return D.plan_frontier(rows.select("organisation_number", "p.*"))
+    return D.plan_frontier(rows.select("organisation_number", "p.*"), D.FOLLOW_UPS)
 
 
 def order_links(spark, d):

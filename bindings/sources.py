@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vouchlake.functions import urls
+from vouchlake.functions import fixed, urls
 from vouchlake.functions.canon import computed, json_text
 from vouchlake.session import scratch
 from vouchlake.sinks import tables as K
@@ -103,7 +103,7 @@ def _s6(spark, d):
 )
 def _s7(spark, d):
     p = table(spark, d, "pages").select("page_id", F.repeat("html", 40).alias("body"))
-    return landing.mark_oversize(p, "body", F.lit(True)).select("page_id", "size_error")
+    return landing.mark_oversize(p, "body", F.lit(True), fixed.HTML_BODY_LIMIT).select("page_id", "size_error")
 
 
 @query(
@@ -126,7 +126,7 @@ def _s8(spark, d):
         F.concat(F.lit("court.example.org/"), (k % 7).cast("string"), F.lit("#top")).alias("url"),
         F.when(k % 19 == 0, "blog").when(k % 2 == 0, "news").otherwise("filing").alias("kind"), (k % 23 != 0).alias("access_reviewed"),
     )
-    return landing.check_manifest(e)
+    return landing.check_manifest(e, 5)
 
 
 @query(

@@ -72,3 +72,23 @@ def test_shared_folder_is_asked_for():
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session)
+
+
+def test_nothing_is_too_large_unless_the_caller_says_so(spark):
+    from pyspark.sql import functions as F
+
+    from vouchlake.sources import landing
+
+    big = spark.range(1).select(F.repeat(F.lit("a"), 2_500_000).alias("body"))
+    for html in (True, False):
+        out = landing.mark_oversize(big, "body", F.lit(html)).select("size_error", F.length("body").alias("n")).first()
+        assert (out.size_error, out.n) == (None, 2_500_000)
+        out = landing.mark_oversize(big, "body", F.lit(html), 1000, 2_000_000).select("size_error", F.length("body").alias("n")).first()
+        assert (out.size_error, out.n) == ("response_size_limit", 2_500_000)
+    entries = spark.createDataFrame([("923609016", i, f"https://court.example.org/{i}", "news", True) for i in range(9)], "organisation_number string, ord int, url string, kind string, access_reviewed boolean")
+    assert landing.accepted_manifest(entries).count() == 9
+    assert landing.check_manifest(entries, 5).filter("fault is not null").count() == 9
+    lines = big.select(F.concat(F.lit('{"organisasjonsnummer":"1","x":"'), "body", F.lit('"}')).alias("value"))
+    rows = bulk.parse_bulk_jsonl(lines, "value")
+    assert rows.select(F.length("record_json")).first()[0] > 2_500_000
+    assert bulk.wrap_bulk(rows, "record_json", F.lit("0" * 64), "jsonl").select(F.length("body")).first()[0] > 2_500_000

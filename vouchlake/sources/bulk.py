@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vouchlake.functions import fixed
 from vouchlake.functions.canon import canonical_json, computed
 from vouchlake.operators.registry_facts import node_json, unquoted
 
@@ -46,7 +45,7 @@ def read_bulk_csv(spark: SparkSession, path: str, wanted: DataFrame | None = Non
 
 
 def read_bulk_jsonl(spark: SparkSession, path: str, wanted: DataFrame | None = None, key: str = KEY) -> DataFrame:
-    """S3: one object per line; anything else, or a line over the limit, is fatal."""
+    """S3: one object per line of any length; anything else is fatal."""
     lines = spark.read.text(path)
     return parse_bulk_jsonl(lines, "value", wanted, key)
 
@@ -54,9 +53,7 @@ def read_bulk_jsonl(spark: SparkSession, path: str, wanted: DataFrame | None = N
 def parse_bulk_jsonl(lines: DataFrame, text: str, wanted: DataFrame | None = None, key: str = KEY) -> DataFrame:
     kept = lines.filter(F.trim(text) != "")
     rows = computed(kept, _v=F.try_parse_json(text))
-    fault = F.when(F.char_length(text) > fixed.JSON_BODY_LIMIT, F.raise_error(F.lit("bulk_record_size_limit"))).when(
-        F.col("_v").isNull() | ~F.schema_of_variant("_v").startswith("OBJECT"), F.raise_error(F.lit("invalid_bulk_record"))
-    )
+    fault = F.when(F.col("_v").isNull() | ~F.schema_of_variant("_v").startswith("OBJECT"), F.raise_error(F.lit("invalid_bulk_record")))
     rows = computed(rows, record_json=F.coalesce(fault.cast("string"), F.to_json("_v")), **{key: unquoted(node_json(F.col("_v"), f"$.{key}"))})
     if wanted is not None:
         rows = rows.join(wanted.select(F.col(wanted.columns[0]).alias(key)).distinct(), key, "left_semi")
@@ -131,11 +128,7 @@ def wrap_bulk(df: DataFrame, record_json: str, file_sha256: Column, encoding: st
         F.struct(F.lit(FORMAT).alias("_format"), F.lit(encoding).alias("encoding"), file_sha256.alias("file_sha256"),
                  F.parse_json(record_json).alias("record"))
     )
-    out = computed(df, body=body)
-    return out.withColumn(
-        "body",
-        F.when(F.octet_length("body") > fixed.JSON_BODY_LIMIT, F.raise_error(F.lit("bulk_record_size_limit")).cast("string")).otherwise(F.col("body")),
-    )
+    return computed(df, body=body)
 
 
 def unwrap_bulk(df: DataFrame, body: str = "body") -> DataFrame:

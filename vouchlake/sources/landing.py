@@ -13,26 +13,29 @@ RESPONSE_COLUMNS = (
 )
 
 
-def mark_oversize(df: DataFrame, body: str, is_html: Column) -> DataFrame:
-    """A body over its limit is an error row; its bytes go no further."""
-    limit = F.when(is_html, F.lit(fixed.HTML_BODY_LIMIT)).otherwise(F.lit(fixed.JSON_BODY_LIMIT))
-    over = F.coalesce(F.octet_length(body) > limit, F.lit(False))
-    return df.withColumn("size_error", F.when(over, F.lit("response_size_limit"))).withColumn(body, F.when(~over, F.col(body)))
+def mark_oversize(df: DataFrame, body: str, is_html: Column, html_limit: int | None = None, json_limit: int | None = None) -> DataFrame:
+    """``size_error`` of a body with more bytes than a given limit; every body stays."""
+    limit = F.when(is_html, F.lit(html_limit).cast("long")).otherwise(F.lit(json_limit).cast("long"))
+    return df.withColumn("size_error", F.when(F.octet_length(body) > limit, F.lit("response_size_limit")))
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
+def read_responses(spark: SparkSession, path: str, html_limit: int | None = None, json_limit: int | None = None) -> DataFrame:
     df = spark.read.parquet(path).select(*RESPONSE_COLUMNS)
-    return mark_oversize(df, "body", ~F.col("source_class").isin(*fixed.JSON_SOURCE_CLASSES))
+    return mark_oversize(df, "body", ~F.col("source_class").isin(*fixed.JSON_SOURCE_CLASSES), html_limit, json_limit)
 
 
-def check_manifest(entries: DataFrame) -> DataFrame:
-    """Rows (organisation_number, ord, url, kind, access_reviewed) with the reason each one breaks the manifest."""
+def check_manifest(entries: DataFrame, source_limit: int | None = None) -> DataFrame:
+    """Rows (organisation_number, ord, url, kind, access_reviewed) with the reason each one breaks the manifest.
+
+    Given ``source_limit``, the rows of a company with more sources are faults.
+    """
     e = urls.normalize_urls(entries, "url")
     counts = e.groupBy("organisation_number").agg(F.count("*").alias("_n"))
     copies = e.groupBy("organisation_number", "norm_url").agg(F.min("ord").alias("_first"))
     joined = e.join(counts, "organisation_number").join(copies, ["organisation_number", "norm_url"], "left")
+    over = F.lit(False) if source_limit is None else F.col("_n") > source_limit
     fault = (
-        F.when(~is_valid_key("organisation_number") | (F.col("_n") > 5), "invalid_legal_source_company_or_limit")
+        F.when(~is_valid_key("organisation_number") | over, "invalid_legal_source_company_or_limit")
         .when(
             ~F.coalesce(F.col("kind").isin(*fixed.LEGAL_KINDS), F.lit(False)) | ~F.coalesce("access_reviewed", F.lit(False)),
             "legal_source_requires_kind_and_access_review",
@@ -43,13 +46,13 @@ def check_manifest(entries: DataFrame) -> DataFrame:
     return joined.select("organisation_number", "ord", F.coalesce("norm_url", "url").alias("url"), "kind", fault.alias("fault"))
 
 
-def accepted_manifest(entries: DataFrame, company_limit: int = 10_000) -> DataFrame:
+def accepted_manifest(entries: DataFrame, company_limit: int | None = None) -> DataFrame:
     """All or nothing; one fault rejects the whole manifest."""
     checked = check_manifest(entries)
     faults = checked.filter(F.col("fault").isNotNull()).select("fault").limit(1).collect()
     if faults:
         raise ValueError(faults[0][0])
-    if checked.select("organisation_number").distinct().count() > company_limit:
+    if company_limit is not None and checked.select("organisation_number").distinct().count() > company_limit:
         raise ValueError("legal_sources_must_be_company_map")
     return checked.drop("fault")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vouchlake.llm import bpe, language, quality, secrets, urlfilter
+from vouchlake.llm import bpe, language, licences, quality, secrets, urlfilter
 from vouchlake.llm.common import ORACLE, QUERIES, fold, query, table
 from vouchlake.llm.decontaminate import judged, occurrences
 from vouchlake.llm.neighbours import search
@@ -163,3 +163,18 @@ def op9(spark, sf_dir):
     network = quality.fit(docs, labels.filter(~held))
     out = quality.score(docs, network)
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+
+
+@query("op11_license_scans")
+def op11(spark, sf_dir):
+    out = licences.scan(table(spark, sf_dir, "documents"), PHRASES)
+    joined = lambda labels: F.concat_ws(",", F.array_sort(F.array_distinct(labels)))
+    return out.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.start").alias("first_word"), F.array_max("places.start").alias("last_word"),
+        joined(F.col("places.label")).alias("base_labels"),
+        joined(F.concat("places.label", F.flatten("expressions.labels"))).alias("labels"), "score",
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vouchlake.llm import bpe, language, licences, quality, secrets, urlfilter
+from vouchlake.llm import bpe, language, lexical, licences, quality, secrets, urlfilter
 from vouchlake.llm.common import ORACLE, QUERIES, fold, query, table
 from vouchlake.llm.decontaminate import judged, occurrences
 from vouchlake.llm.neighbours import search
@@ -178,3 +178,22 @@ def op11(spark, sf_dir):
         joined(F.col("places.label")).alias("base_labels"),
         joined(F.concat("places.label", F.flatten("expressions.labels"))).alias("labels"), "score",
     )
+
+
+@query(
+    "op12_ranked_lexical_search",
+    f"""
+WITH d AS (SELECT doc_id, {TERMS} AS w FROM documents),
+n AS (SELECT doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+s AS (SELECT count(*)::BIGINT AS rows, sum(n)::BIGINT AS total FROM n),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * rows + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+q AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+p AS (SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * rows) // total))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (doc_id), s GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM p WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20""",
+)
+def op12(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)

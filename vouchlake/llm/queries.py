@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vouchlake.llm import bpe, language, lexical, licences, quality, secrets, urlfilter
+from vouchlake.llm import bpe, language, lexical, licences, quality, secrets, spelling, urlfilter
 from vouchlake.llm.common import ORACLE, QUERIES, fold, query, table
 from vouchlake.llm.decontaminate import judged, occurrences
 from vouchlake.llm.neighbours import search
@@ -197,3 +197,35 @@ SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20""",
 )
 def op12(spark, sf_dir):
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+CRC = (
+    "xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: ('0x' || x)::BIGINT), "
+    "lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT)::BIGINT"
+)
+
+
+@query(
+    "op13_spelling_variants",
+    f"""
+WITH RECURSIVE crc AS (SELECT {_crc_table()}::BIGINT[] AS t),
+o AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id,
+  unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run
+  FROM documents) GROUP BY doc_id, run),
+h AS (SELECT run, c, {CRC.format("doc_id || ':' || run")} AS h FROM o, crc WHERE length(run) >= 7),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+x AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM w)),
+near AS (SELECT x.word AS a, w.word AS b FROM x JOIN w ON x.cut = w.word UNION SELECT w.word, x.word FROM x JOIN w ON x.cut = w.word
+  UNION SELECT p.word, q.word FROM x p JOIN x q ON p.i = q.i AND p.cut = q.cut AND p.word <> q.word),
+best AS (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r
+  FROM near JOIN w ON w.word = near.b),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best.n >= 10 * w.n THEN b END AS form,
+  CASE WHEN best.n >= 10 * w.n THEN best.n END AS form_n FROM w LEFT JOIN best ON best.a = w.word AND r = 1),
+up AS (SELECT word, word AS root FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL),
+ends AS (SELECT up.word, up.root FROM up JOIN f ON f.word = up.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n FROM f JOIN ends USING (word)""",
+)
+def op13(spark, sf_dir):
+    out = spelling.variants(table(spark, sf_dir, "documents"), spelling.drop_one_in(31), 10)
+    return out.select("word", "form", "root", "n", "n_near", "form_n")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vouchlake.session import scratch
-from vouchlake.streaming import feeds as T
+from vouchlake.streaming import feeds as T, history
 
 from .common import ORACLE, query, table
 from .derive import OBS_SQL
@@ -28,13 +28,33 @@ def feed(spark, d, name, columns):
     return T.open_feed(spark, path, files_per_batch=FILES)
 
 
+#: Lots of the T1 feed overlap by up to this many seconds of event time, half of the delay it is run with.
+OVERLAP = 43_200
+
+
+def overlapping_feed(spark, d):
+    """Observations in four lots: each row lands up to half a day later than its time, in no order.
+
+    A last row far behind all others closes the feed, so that the watermark passes every real one.
+    """
+    path = scratch(spark, "feed-changes")
+    e = table(spark, d, "events")
+    obs = e.select("event_id", "user_id", "event_type", "ts", F.floor(F.col("value") / 25).cast("bigint").alias("v"))
+    landed = F.unix_timestamp(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(OVERLAP))
+    low, middle, high = obs.agg(F.percentile_approx(landed, [0.25, 0.5, 0.75])).first()[0]
+    for part in (landed <= low, (landed > low) & (landed <= middle), (landed > middle) & (landed <= high), landed > high):
+        obs.filter(part).repartition(FILES).write.mode("append").parquet(path)
+    end = obs.agg(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("end").alias("event_type"),
+                  (F.max("ts") + F.expr("interval 60 days")).alias("ts"), F.lit(0).cast("bigint").alias("v"))
+    end.write.mode("append").parquet(path)
+    return T.open_feed(spark, path, files_per_batch=FILES)
+
+
 @query("t1_stream_changes", ORACLE["w7_change_history"])
 def _t1(spark, d):
-    e = feed(spark, d, "events", ["ts", "event_id", "user_id", "event_type", "value"])
-    obs = e.select("event_id", "user_id", "event_type", "ts", F.floor(F.col("value") / 25).cast("bigint").alias("v"))
     path = scratch(spark, "changes")
-    T.stream_changes(obs, ["user_id", "event_type"], ["ts", "event_id"], "v", path)
-    return T.read_changes(spark, path).select("event_id", "v", "before", "kind")
+    history.stream_changes(overlapping_feed(spark, d), ["user_id", "event_type"], ["ts", "event_id"], "v", path, "ts", "1 day", "7 days")
+    return history.read_changes(spark, path).filter("user_id >= 0").select("event_id", "v", "before", "kind")
 
 
 @query("t2_stream_dedupe", "SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d %H') AS hour FROM events")
@@ -52,7 +72,7 @@ def _t3(spark, d):
     e = e.withColumn("state", F.when(F.col("event_type") == "error", "failed").otherwise("available"))
     path = scratch(spark, "latest")
     T.stream_latest(e, "user_id", ["ts", "event_id"], path)
-    return T.read_latest(spark, path, "user_id", ["ts", "event_id"]).select("user_id", "event_id")
+    return T.read_latest(spark, path).select("user_id", "event_id")
 
 
 RATES_SQL = """SELECT 'h' || (user_id % 20) AS host, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, count(*) AS requests,

@@ -1,17 +1,13 @@
-"""The landing feeds as Structured Streaming queries.
+"""The landing feeds as Structured Streaming queries; T1 is in ``history``.
 
-State that is one value per key lives in a table of small appended deltas, so a
-micro-batch touches only its own keys and the ordered work inside the batch is the
-same skew-safe job that the batch plans use. Every write goes to a folder named by
-the batch id and is overwritten on replay, which keeps results exactly once.
+Every write of a micro-batch goes to a folder named by the batch id and is overwritten on
+replay, which keeps results exactly once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vouchlake.operators.windows import change_history
-from vouchlake.sinks.tables import _exists
 
 
 def open_feed(spark: SparkSession, path: str, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -28,31 +24,6 @@ def _run(df: DataFrame, handle, checkpoint: str, mode: str = "append") -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_changes(observations: DataFrame, keys: list[str], order: list[str], value: str, path: str) -> None:
-    """Every observation with the value before it, across micro-batches."""
-    state = f"{path}/state"
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.withColumn("_old", F.lit(False))
-        rows = batch
-        if _exists(spark, state):
-            known = spark.read.parquet(state).filter(F.col("batch_id") < batch_id)
-            known = known.join(batch.select(*keys).distinct(), keys, "left_semi")
-            last = known.groupBy(*keys).agg(F.max_by(F.struct(*order, value), F.struct("batch_id")).alias("_l"))
-            rows = batch.unionByName(last.select(*keys, "_l.*").withColumn("_old", F.lit(True)), allowMissingColumns=True)
-        seen = change_history(rows, keys, order, value).filter(~F.col("_old")).drop("_old")
-        seen.write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}")
-        ends = batch.groupBy(*keys).agg(F.max_by(F.struct(*order, value), F.struct(*order)).alias("_l"))
-        ends.select(*keys, "_l.*").write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
-
-    _run(observations, handle, f"{path}/checkpoint")
-
-
-def read_changes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/changes").drop("batch_id")
-
-
 def stream_dedupe(bodies: DataFrame, key: list[str], at: str, delay: str, path: str) -> None:
     """One row per content key within the watermark."""
     unique = bodies.withWatermark(at, delay).dropDuplicatesWithinWatermark(key)
@@ -60,20 +31,58 @@ def stream_dedupe(bodies: DataFrame, key: list[str], at: str, delay: str, path:
     query.trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_latest(observations: DataFrame, key: str, order: list[str], path: str) -> None:
-    """The latest success per key, as appended deltas."""
+#: Parts of a table of latest rows; a micro-batch rewrites the parts that its keys fall into.
+PARTS = 16
+
+
+def _versions(spark: SparkSession, root: str, before: int | None = None) -> dict[int, list[tuple[int, str]]]:
+    """Part -> (batch, folder) of its complete versions, newest first; at most two per part stay stored."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = {s.getPath().getParent().getName() for s in files.globStatus(hadoop(f"{root}/batch_id=*/_SUCCESS")) or ()}
+    found: dict[int, list[tuple[int, str]]] = {}
+    for status in files.globStatus(hadoop(f"{root}/batch_id=*/part=*")) or ():
+        folder = status.getPath()
+        batch = int(folder.getParent().getName().split("=")[1])
+        if folder.getParent().getName() in whole and (before is None or batch < before):
+            found.setdefault(int(folder.getName().split("=")[1]), []).append((batch, folder.toString()))
+    return {part: sorted(versions, reverse=True) for part, versions in found.items()}
+
+
+def stream_latest(observations: DataFrame, key: str, order: list[str], path: str, parts: int = PARTS) -> None:
+    """The latest success per key in a table of ``parts`` parts by key hash.
+
+    A micro-batch reads the parts its keys fall into, merges, and writes their next versions in its own
+    folder; other parts are neither read nor written. A replayed batch starts from the versions before
+    it and writes the same. What two newer versions replace is removed, so the stored files stay as many.
+    """
+    from vouchlake.session import forget
     from vouchlake.sinks.tables import latest_success
 
+    root = f"{path}/latest"
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        latest_success(batch, key, order).write.mode("overwrite").parquet(f"{path}/latest/batch_id={batch_id}")
+        spark = batch.sparkSession
+        new = latest_success(batch, key, order).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        held = _versions(spark, root, batch_id)
+        touched = [r["part"] for r in new.select("part").distinct().collect()]
+        known = [held[p][0][1] for p in touched if p in held]
+        if known:
+            stored = spark.read.option("basePath", root).schema(new.withColumn("batch_id", F.lit(0)).schema).parquet(*known).drop("batch_id")
+            new = latest_success(new.unionByName(stored), key, order)
+        new.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{root}/batch_id={batch_id}")
+        for part in touched:
+            for _, folder in held.get(part, [])[1:]:
+                forget(spark, folder)
 
     _run(observations, handle, f"{path}/checkpoint")
 
 
-def read_latest(spark: SparkSession, path: str, key: str, order: list[str]) -> DataFrame:
-    from vouchlake.sinks.tables import latest_success
-
-    return latest_success(spark.read.parquet(f"{path}/latest"), key, order).drop("batch_id")
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """One row per key: the newest version of every part."""
+    root = f"{path}/latest"
+    newest = [versions[0][1] for versions in _versions(spark, root).values()]
+    return spark.read.option("basePath", root).parquet(*newest).drop("batch_id", "part")
 
 
 def request_rates(log: DataFrame, at: str, host: str, width: str, slide: str | None = None, delay: str = "1 hour") -> DataFrame:

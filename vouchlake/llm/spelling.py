@@ -6,15 +6,16 @@ rule that may change single occurrences. Frequent enough and long enough ones ar
 **Trie.** Letters are dealt into ``LEVELS`` groups, the most frequent ones alone. A word's vector has
 its letter count of each group; the trie arranges words by one count after the other. One
 edit adds at most one letter to one group and takes at most one from one, so a depth-first
-search that spends at most one surplus and one deficit on its way meets every near word.
-Words at the leaves are verified letter by letter. Below ``LEAF`` pairs of members and probes the
+search that spends at most one surplus and one deficit on its way meets every near word. A
+pair of different vectors is met from one side only: the deficit may not come before the surplus, so
+it is the word with the lesser count at the first level where they differ that asks. Words at the leaves are verified letter by letter. Below ``LEAF`` pairs of members and probes the
 rest of the levels is compared at once; the budget is the same.
 
 **On Spark.** The trie is cut into subtrees of at most ``SUBTREE`` words: the driver keeps only the
 prefixes of counts that hold more (at most one in ``SUBTREE`` words per level, found by counting in Spark).
 Every word travels to its own subtree as a member and, as a probe, to the subtrees that the
 budget reaches. A task meets a subtree's members first, then its probes in batches; it
-returns, per probe, the number of near words and the most frequent of them, never pairs. More than ``SUBTREE``
+returns, per probe and per member, the number of near words and the most frequent of them, never pairs. More than ``SUBTREE``
 words of one whole vector are dealt out by hash, and probes go to each part.
 
 Counts are held up to 255; two counts beyond are taken as equal there, which lets more words
@@ -42,7 +43,9 @@ from vouchlake.session import forget
 #: Groups of letters, of which so many are single letters.
 LEVELS, SINGLE = 20, 15
 #: Words in one subtree, pairs compared at once at a leaf, pairs verified at once.
-SUBTREE, LEAF, PAIRS = 25_000, 20_000, 500_000
+SUBTREE, LEAF, PAIRS = 25_000, 60_000, 500_000
+#: Levels of a leaf that are compared for all its pairs before the others for those left.
+FIRST = 4
 #: Letters of a word that stand in the packed arrays.
 PACKED = 64
 #: Distinct words a counting task holds; levels counted in one pass of the cut.
@@ -142,42 +145,73 @@ def _near(probes: Words, p: np.ndarray, members: Words, m: np.ndarray) -> np.nda
     return out
 
 
+def _places(n: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Place of each word by falling number, then by letters."""
+    place = np.empty(len(texts), np.int64)
+    place[sorted(range(len(texts)), key=lambda i: (-n[i], texts[i]))] = np.arange(len(texts))
+    return place
+
+
 class Subtree:
     """The words under one prefix of counts; a node is a range of the sorted vectors."""
 
     def __init__(self, texts: list[str], n: list[int], group: np.ndarray, depth: int):
-        held = Words(texts, group)
-        order = np.lexsort(held.vector.T[::-1])
-        self.words = Words([texts[i] for i in order], group)
-        self.n, self.texts = np.array(n, np.int64)[order], [texts[i] for i in order]
-        self.depth = depth
-        ranked = sorted(range(len(order)), key=lambda i: (-self.n[i], self.texts[i]))
-        #: Place of a word among all by falling number, then by letters, and back.
-        self.at_place = np.array(ranked, np.int64)
-        self.place = np.empty(len(order), np.int64)
-        self.place[self.at_place] = np.arange(len(order))
-
-    def search(self, probes: Words):
-        """(number of near words, place of the best) of each probe."""
+        own = Words(texts, group)
+        order = np.lexsort([*own.vector.T[::-1], own.size])
+        self.texts, self.n = [texts[i] for i in order], np.array(n, np.int64)[order]
+        self.words, self.depth = Words(self.texts, group), depth
+        self.place = _places(self.n, self.texts)
+        self.at_place = np.argsort(self.place)
+        #: What probes found of each member: near words, and the best as (-n, word).
+        self.met = np.zeros(len(order), np.int64)
+        self.best: dict[int, tuple[int, str]] = {}
+
+    def search(self, probes: Words, n: np.ndarray, texts: list[str]):
+        """(near words, best member as (-n, word)) of each probe with any; members keep their side of a pair of different vectors."""
+        found = np.zeros(len(texts), np.int64)
+        best = np.full(len(texts), len(self.texts), np.int64)
+        met = np.zeros(len(self.texts), np.int64)
+        back = np.full(len(self.texts), len(texts), np.int64)
+        place = _places(n, texts)
+        for p, m in self._pairs(probes):
+            np.add.at(found, p, 1)
+            np.minimum.at(best, p, self.place[m])
+            apart = (probes.vector[p] != self.words.vector[m]).any(axis=1) | (probes.size[p] != self.words.size[m])
+            np.add.at(met, m[apart], 1)
+            np.minimum.at(back, m[apart], place[p[apart]])
+        self.met += met
+        at_place = np.argsort(place)
+        for m in np.flatnonzero(met).tolist():
+            i = int(at_place[back[m]])
+            own = (-int(n[i]), texts[i])
+            self.best[m] = min(own, self.best.get(m, own))
+        for p in np.flatnonzero(found).tolist():
+            i = int(self.at_place[best[p]])
+            yield texts[p], int(found[p]), (-int(self.n[i]), self.texts[i])
+
+    def members(self):
+        for m, best in self.best.items():
+            yield self.texts[m], int(self.met[m]), best
+
+    def _pairs(self, probes: Words):
+        """Verified (probes, members) one edit apart: a surplus before a deficit, or one vector."""
         member, probe = self.words.vector, probes.vector
-        found = np.zeros(len(probe), np.int64)
-        best = np.full(len(probe), len(member), np.int64)
         over = member[:1, : self.depth].astype(np.int16) - probe[:, : self.depth].astype(np.int16)
-        stack = [(0, len(member), self.depth, np.arange(len(probe)), np.maximum(over, 0).sum(1), np.maximum(-over, 0).sum(1))]
+        surplus, deficit = np.maximum(over, 0).sum(1, np.int16), np.maximum(-over, 0).sum(1, np.int16)
+        stack = []
+        sizes, starts = np.unique(self.words.size, return_index=True)
+        for size, low, high in zip(sizes, starts.tolist(), [*starts[1:].tolist(), len(member)], strict=True):
+            # The count of all letters comes first: it is the asking word's or one more.
+            live = np.flatnonzero((probes.size == size) | (probes.size == size - 1))
+            if len(live):
+                stack.append((low, high, self.depth, live, surplus[live], deficit[live]))
         while stack:
             low, high, depth, live, surplus, deficit = stack.pop()
             if depth == LEVELS or (high - low) * len(live) <= LEAF:
                 step = max(1, PAIRS // (high - low))
                 for a in range(0, len(live), step):
-                    own = live[a : a + step]
-                    over = member[low:high, None, depth:].astype(np.int16) - probe[None, own, depth:].astype(np.int16)
-                    spent = np.maximum(over, 0).sum(2) + surplus[a : a + step] <= 1
-                    spent &= np.maximum(-over, 0).sum(2) + deficit[a : a + step] <= 1
-                    m, p = np.nonzero(spent)
-                    m, p = m + low, own[p]
-                    near = _near(probes, p, self.words, m)
-                    np.add.at(found, p[near], 1)
-                    np.minimum.at(best, p[near], self.place[m[near]])
+                    part = slice(a, a + step)
+                    yield self._leaf(probes, low, high, depth, live[part], surplus[part], deficit[part])
                 continue
             counts, starts = np.unique(member[low:high, depth], return_index=True)
             ends = np.append(starts[1:], high - low)
@@ -185,10 +219,31 @@ class Subtree:
             for count, a, b in zip(counts.astype(np.int16), starts.tolist(), ends.tolist(), strict=True):
                 over = count - asked
                 more, less = surplus + np.maximum(over, 0), deficit + np.maximum(-over, 0)
-                on = (more <= 1) & (less <= 1)
+                on = (more <= 1) & (less <= more)
                 if on.any():
                     stack.append((low + a, low + b, depth + 1, live[on], more[on], less[on]))
-        return found, best
+
+    def _leaf(self, probes: Words, low: int, high: int, depth: int, live, surplus, deficit):
+        """Pairs of a node's members and probes that the rest of the levels and then the letters leave."""
+        member, probe = self.words.vector[low:high].astype(np.int16), probes.vector[live].astype(np.int16)
+        more, less = np.tile(surplus, (high - low, 1)), np.tile(deficit, (high - low, 1))
+        ok, middle = less <= more, min(LEVELS, depth + FIRST)
+        for level in range(depth, middle):
+            over = member[:, level, None] - probe[None, :, level]
+            more += np.maximum(over, 0)
+            less -= np.minimum(over, 0)
+            ok &= less <= more
+        m, p = np.nonzero(ok & (more <= 1))
+        rest = member[m, middle:] - probe[p, middle:]
+        spent, before = more[m, p], less[m, p]
+        more = spent + np.maximum(rest, 0).sum(1)
+        less = before - np.minimum(rest, 0).sum(1)
+        # Without an earlier surplus the first difference has to be one.
+        first = np.take_along_axis(rest, (rest != 0).argmax(1)[:, None], 1)[:, 0] if rest.shape[1] else np.zeros(len(m))
+        on = (more <= 1) & (less <= more) & ((first >= 0) | (spent > 0))
+        m, p = m[on] + low, live[p[on]]
+        near = _near(probes, p, self.words, m)
+        return p[near], m[near]
 
 
 def letter_groups(vocabulary: DataFrame) -> np.ndarray:
@@ -238,7 +293,7 @@ def overfull(vocabulary: DataFrame, group: np.ndarray) -> dict[bytes, int]:
 
 
 def _reached(vectors: np.ndarray, full: dict[bytes, int]):
-    """(row, prefix of a subtree) that a budget of one surplus and one deficit reaches from each vector."""
+    """(row, prefix of a subtree) that a budget of one surplus and then one deficit reaches from each vector."""
     row = np.arange(len(vectors))
     surplus = np.zeros(len(vectors), bool)
     deficit = np.zeros(len(vectors), bool)
@@ -258,7 +313,7 @@ def _reached(vectors: np.ndarray, full: dict[bytes, int]):
         ways = [(np.ones(len(row), bool), own, surplus, deficit)]
         # A count held at 255 may stand for more, so the next one is the same there.
         ways.append((~surplus & (own < 255), own + np.uint8(1), ~surplus | surplus, deficit))
-        ways.append((~deficit & (own > 0), own - np.uint8(1), surplus, ~deficit | deficit))
+        ways.append((surplus & ~deficit & (own > 0), own - np.uint8(1), surplus, ~deficit | deficit))
         parts = [(row[on], s[on], t[on], np.column_stack([path[on], count[on]])) for on, count, s, t in ways]
         row, surplus, deficit, path = (np.concatenate(x) for x in zip(*parts, strict=True))
         depth += 1
@@ -290,7 +345,7 @@ def _send_task(group: np.ndarray, held):
                     keys.append(prefix + part.to_bytes(4, "big"))
                     probe.append(True)
                     out.append(texts[i])
-                    times.append(None)
+                    times.append(n[i])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(probe), pa.array(out, pa.string()), pa.array(times, pa.int64())], ["key", "probe", "word", "n"])
 
     return run
@@ -301,7 +356,12 @@ BEST = pa.struct([("less", pa.int64()), ("word", pa.string())])
 
 
 def _search_task(group: np.ndarray):
-    """Near words of probes; rows come by subtree, members before probes."""
+    """Near words of probes and members; rows come by subtree, members before probes."""
+
+    def batch_of(found):
+        words, near, best = zip(*found, strict=True) if found else ((), (), ())
+        rows = [{"less": less, "word": word} for less, word in best]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(near, pa.int64()), pa.array(rows, BEST)], ["word", "n_near", "best"])
 
     def run(batches):
         key, tree, texts, times = None, None, [], []
@@ -313,19 +373,17 @@ def _search_task(group: np.ndarray):
                 if a == b:
                     continue
                 if keys[a] != key:
+                    if tree:
+                        yield batch_of(list(tree.members()))
                     key, tree, texts, times = keys[a], None, [], []
                 if not probe[a]:
                     texts += word[a:b]
                     times += n[a:b]
-                    continue
-                if not texts:  # a subtree without words
-                    continue
-                tree = tree or Subtree(texts, times, group, len(key) - 4)
-                found, best = tree.search(Words(word[a:b], group))
-                met = np.flatnonzero(found)
-                at = tree.at_place[best[met]].tolist()
-                rows = [{"less": -int(tree.n[i]), "word": tree.texts[i]} for i in at]
-                yield pa.RecordBatch.from_arrays([pa.array([word[a + i] for i in met.tolist()], pa.string()), pa.array(found[met]), pa.array(rows, BEST)], ["word", "n_near", "best"])
+                elif texts:  # else a subtree without words
+                    tree = tree or Subtree(texts, times, group, len(key) - 4)
+                    yield batch_of(list(tree.search(Words(word[a:b], group), np.array(n[a:b], np.int64), word[a:b])))
+        if tree:
+            yield batch_of(list(tree.members()))
 
     return run
 

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from vouchlake.operators import registry_facts as RF
 from vouchlake.plans import audit as A
-from vouchlake.session import durable
+from vouchlake.session import durable, scratch
+from vouchlake.sinks.bodies import store_bodies
 
 from .common import REGISTRY_FACTS_SQL, key_sql, query, registry_responses, table
 
@@ -39,10 +40,11 @@ def _c8(spark, d):
       WHERE v IS NOT NULL AND ((k % 20 = 0 AND field = 'bankrupt') OR (k % 20 = 1 AND field = 'industry'))""",
 )
 def _c9(spark, d):
-    bodies = registry_responses(spark, d).withColumns({"source_class": F.lit("official_registry"), "extractor_version": F.lit("v1")})
-    registry = A.ExtractorRegistry()
-    registry.add("official_registry", "v1", RF.unpivot_claims)
-    derived = durable(registry.replay(bodies))
+    landed = durable(registry_responses(spark, d).withColumns({
+        "source_class": F.lit("official_registry"), "extractor_version": F.lit("registry_v1"), "content_sha256": F.sha2("body", 256), "legal_name": F.lit(None).cast("string"),
+    }))
+    bodies = store_bodies(landed, scratch(spark, "bodies"))
+    derived = durable(A.ready_registry().replay(landed.drop("body"), bodies))
     k = F.substring("organisation_number", 2, 7).cast("int") % 20
     stored = derived.withColumn("value_json", F.when((k == 0) & (F.col("field") == "bankrupt"), F.lit('"true"')).otherwise(F.col("value_json")))
     stored = stored.withColumn("json_pointer", F.when((k == 1) & (F.col("field") == "industry"), F.lit("/navn")).otherwise(F.col("json_pointer")))

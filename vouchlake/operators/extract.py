@@ -16,7 +16,7 @@ from .identity import _key_json, _span, _text_at, identity_proof, label_spans, n
 from .pages import visible_text
 from .registry_facts import node_json, unquoted
 from .rollups import drop_conflicts
-from .walk import explode_nodes, has_type, walk_json
+from .walk import explode_nodes, find_objects, has_type
 from .windows import keep_first
 
 CLAIM_COLUMNS = (
@@ -40,12 +40,11 @@ def as_claims(df: DataFrame, **columns) -> DataFrame:
 
 def account_statements(responses: DataFrame, body: str = "body") -> DataFrame:
     """Account records under any wrapper, usable ones only, conflicts removed."""
-    is_record = lambda n: _key_json(n, "regnskapsperiode").startswith("{") & _key_json(n, "virksomhet").startswith("{")
-    nodes = walk_json(responses, body, ["organisation_number", "evidence_id"], stop=is_record)
+    nodes = find_objects(responses, body, ["organisation_number", "evidence_id"], {"regnskapsperiode": "{", "virksomhet": "{"}, stop=True)
     node = F.col("node")
     at = lambda path: unquoted(node_json(node, f"$.{path}"))
     rows = computed(
-        nodes.filter(is_record(node)),
+        nodes,
         period_start=at("regnskapsperiode.fraDato"), period_end=at("regnskapsperiode.tilDato"), owner=at("virksomhet.organisasjonsnummer"),
         report_type=at("regnskapstype"), raw_currency=at("valuta"),
     )
@@ -64,7 +63,7 @@ def account_statements(responses: DataFrame, body: str = "body") -> DataFrame:
     print_of = F.sha2(F.to_json(F.struct("period_start", "currency", F.transform("metrics", lambda m: F.struct(m["metric"], m["amount_json"])).alias("m"))), 256)
     rows = computed(rows, _print=print_of)
     keys = ["organisation_number", "evidence_id", "owner", "report_type", "period_end"]
-    kept = drop_conflicts(rows.drop("node", "node_json"), keys, "_print", ["ord"], last=True)
+    kept = drop_conflicts(rows.drop("node"), keys, "_print", ["ord"], last=True)
     return kept.drop("_print", "raw_currency")
 
 
@@ -88,19 +87,18 @@ def extract_financials(responses: DataFrame, body: str = "body") -> DataFrame:
 
 def extract_financials_v1(responses: DataFrame, body: str = "body") -> DataFrame:
     """Revenue only, last record per end date and type, kept so that old evidence stays checkable."""
-    is_record = lambda n: _key_json(n, "regnskapsperiode").startswith("{") & _key_json(n, "virksomhet").startswith("{")
-    nodes = walk_json(responses, body, ["organisation_number", "evidence_id"], stop=is_record)
+    nodes = find_objects(responses, body, ["organisation_number", "evidence_id"], {"regnskapsperiode": "{", "virksomhet": "{"}, stop=True)
     node = F.col("node")
     at = lambda path: unquoted(node_json(node, f"$.{path}"))
     rows = computed(
-        nodes.filter(is_record(node)),
+        nodes,
         period_end=at("regnskapsperiode.tilDato"), owner=at("virksomhet.organisasjonsnummer"), revenue=node_json(node, "$." + fixed.ACCOUNT_METRICS["revenue"]),
         report_type=F.coalesce(at("regnskapstype"), F.lit("SELSKAP")), start_json=F.coalesce(node_json(node, "$.regnskapsperiode.fraDato"), F.lit("null")),
         currency_json=F.coalesce(node_json(node, "$.valuta"), F.lit("null")),
     )
     rows = rows.filter(F.col("period_end").isNotNull() & F.col("owner").isNotNull() & F.col("revenue").rlike(r"\A-?[0-9]"))
     # The wrapper is read from its end, so the earliest record in the document is the last one met.
-    last = keep_first(rows.drop("node", "node_json"), ["organisation_number", "evidence_id", "period_end", "report_type"], [F.col("ord")])
+    last = keep_first(rows.drop("node"), ["organisation_number", "evidence_id", "period_end", "report_type"], [F.col("ord")])
     last = last.filter(F.col("owner") == F.col("organisation_number"))
     value = F.concat(
         F.lit('{"currency":'), "currency_json", F.lit(',"organisation_number":"'), "owner", F.lit('","period_end":"'), "period_end", F.lit('","period_start":'),
@@ -115,13 +113,13 @@ def extract_financials_v1(responses: DataFrame, body: str = "body") -> DataFrame
 
 def extract_roles(responses: DataFrame, body: str = "body", version: str = "registry_roles_v2") -> DataFrame:
     """People and their roles; nothing else of the person leaves the record."""
-    nodes = walk_json(responses, body, ["organisation_number", "evidence_id"])
+    nodes = find_objects(responses, body, ["organisation_number", "evidence_id"], {"person": "{", "type": "{"})
     node = F.col("node")
     part = lambda k: F.nullif(F.trim(unquoted(node_json(node, f"$.person.navn.{k}"))), F.lit(""))
     rows = computed(nodes, name=F.concat_ws(" ", part("fornavn"), part("mellomnavn"), part("etternavn")), role=F.trim(unquoted(node_json(node, "$.type.beskrivelse"))))
     rows = rows.filter((F.col("name") != "") & (F.col("role") != ""))
     rows = computed(rows, value_json=F.to_json(F.struct("name", "role")))
-    first = keep_first(rows.drop("node", "node_json"), ["organisation_number", "evidence_id", "value_json"], [F.col("ord")])
+    first = keep_first(rows.drop("node"), ["organisation_number", "evidence_id", "value_json"], [F.col("ord")])
     subject = F.concat(F.lit("leadership:"), "value_json")
     return as_claims(
         first, claim_id=digest("organisation_number", subject), field="leadership", subject=subject, value_json=F.col("value_json"),
@@ -131,7 +129,7 @@ def extract_roles(responses: DataFrame, body: str = "body", version: str = "regi
 
 def extract_locations(responses: DataFrame, body: str = "body", version: str = "registry_subunits_v2") -> DataFrame:
     """Named sub-units whose parent is exactly the requested entity."""
-    nodes = walk_json(responses, body, ["organisation_number", "evidence_id"])
+    nodes = find_objects(responses, body, ["organisation_number", "evidence_id"], {"overordnetEnhet": "", "organisasjonsnummer": "", "navn": ""})
     node = F.col("node")
     filled = lambda k: F.when(~F.coalesce(node_json(node, f"$.{k}"), F.lit("null")).isin("null", '""', "[]", "{}", "0", "false"), node_json(node, f"$.{k}"))
     address = F.coalesce(filled("beliggenhetsadresse"), filled("forretningsadresse"), F.lit("{}"))
@@ -144,7 +142,7 @@ def extract_locations(responses: DataFrame, body: str = "body", version: str = "
         F.lit('{"address":'), "address_json", F.lit(',"employees":'), "employees_json", F.lit(',"name":'), json_text("name"), F.lit(',"organisation_number":'), json_text("number"), F.lit("}")
     )
     rows = computed(rows, value_json=value, subject=F.concat(F.lit("location:"), "number"))
-    first = keep_first(rows.drop("node", "node_json"), ["organisation_number", "evidence_id", "value_json"], [F.col("ord")])
+    first = keep_first(rows.drop("node"), ["organisation_number", "evidence_id", "value_json"], [F.col("ord")])
     return as_claims(
         first, claim_id=digest("organisation_number", "subject", "value_json"), field="locations", subject=F.col("subject"), value_json=F.col("value_json"),
         json_pointer=F.col("pointer") if version.endswith("2") else F.lit(None).cast("string"), extraction_method=version,
@@ -335,15 +333,22 @@ def extract_legal(pages: DataFrame, version: int = 2) -> DataFrame:
     )
 
 
+#: Locators that travel to one body at once.
+LOCATED = 1_000
+
+
 def claim_excerpts(claims: DataFrame, evidence: DataFrame, limit: int | None = None) -> DataFrame:
     """What the stored source says at each claim's locator, whole or at most ``limit`` characters.
 
-    ``evidence``: evidence_id, body, is_json, text (of pages), json_ld.
+    ``evidence``: evidence_id, body, is_json, text (of pages), json_ld. The locators of a body travel to it
+    as one array; the body is parsed once and never repeated, nor shuffled where it is bucketed by evidence_id.
     """
-    j = claims.join(evidence, "evidence_id")
-    pointer = F.regexp_replace(F.coalesce("json_pointer", F.lit("")), r"\A/", "")
-    tokens = F.when(pointer == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(pointer, "/"))
-    root = F.try_parse_json(F.when(F.col("is_json"), F.col("body")).otherwise(F.try_element_at("json_ld", F.col("json_ld_block") + 1)))
+    from vouchlake.sinks.bodies import in_parts
+
+    locator = F.struct("organisation_number", "claim_id", "json_pointer", "json_ld_block", "text_span", "value_json")
+    located = in_parts(claims, "evidence_id", "claim_id", LOCATED).groupBy("evidence_id", "_part").agg(F.collect_list(locator).alias("_at")).drop("_part")
+    j = evidence.join(located, "evidence_id")
+    j = computed(j, _root=F.when(F.col("is_json"), F.try_parse_json("body")), _blocks=F.transform("json_ld", lambda b: F.try_parse_json(b)))
 
     def step(node, token):
         key = F.replace(F.replace(token, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
@@ -351,11 +356,20 @@ def claim_excerpts(claims: DataFrame, evidence: DataFrame, limit: int | None = N
         by_index = F.try_element_at(F.try_variant_get(node, "$", "array<variant>"), key.try_cast("int") + 1)
         return F.coalesce(by_name, by_index)
 
-    at_pointer = F.to_json(F.aggregate(tokens, root, step))
-    s, e = F.col("text_span.start"), F.col("text_span.end")
-    in_text = F.when((s >= 0) & (s < e) & (e <= F.char_length("text")), slice_text("text", "text_span.start", "text_span.end"))
-    literal = unquoted(F.col("value_json"))
-    use_pointer = (F.col("is_json") & F.col("json_pointer").isNotNull()) | F.col("json_ld_block").isNotNull()
-    found = F.when(use_pointer, at_pointer).when(F.col("text_span").isNotNull() & in_text.isNotNull(), in_text).when(F.contains("body", literal), literal)
-    excerpt = F.coalesce(found, "value_json")
-    return j.select("organisation_number", "claim_id", "evidence_id", (F.substring(excerpt, 1, limit) if limit else excerpt).alias("excerpt"))
+    def excerpt(at):
+        pointer = F.regexp_replace(F.coalesce(at["json_pointer"], F.lit("")), r"\A/", "")
+        tokens = F.when(pointer == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(pointer, "/"))
+        root = F.when(F.col("is_json"), F.col("_root")).otherwise(F.try_element_at("_blocks", at["json_ld_block"] + 1))
+        s, e = at["text_span"]["start"], at["text_span"]["end"]
+        in_text = F.when((s >= 0) & (s < e) & (e <= F.char_length("text")), slice_text("text", s, e))
+        literal = unquoted(at["value_json"])
+        use_pointer = (F.col("is_json") & at["json_pointer"].isNotNull()) | at["json_ld_block"].isNotNull()
+        found = F.when(use_pointer, F.to_json(F.aggregate(tokens, root, step))).when(at["text_span"].isNotNull() & in_text.isNotNull(), in_text)
+        found = F.coalesce(found.when(F.contains("body", literal), literal), at["value_json"])
+        return F.struct(
+            at["organisation_number"].alias("organisation_number"), at["claim_id"].alias("claim_id"),
+            (F.substring(found, 1, limit) if limit else found).alias("excerpt"),
+        )
+
+    rows = j.select("evidence_id", F.inline(F.transform("_at", excerpt)))
+    return rows.select("organisation_number", "claim_id", "evidence_id", "excerpt")

@@ -1,8 +1,20 @@
-"""Nodes of nested JSON with RFC 6901 pointers, level by level inside each row."""
+"""Nodes of nested JSON with RFC 6901 pointers.
+
+``walk_json`` gives every node, level by level inside each row; ``find_objects`` reads the text
+once as a stream of tokens and gives only the objects that have certain members.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+import re
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from vouchlake.functions.canon import computed, pointer_token
 
@@ -120,6 +132,88 @@ def walk_json(df: DataFrame, column: str, keep: list[str], depth: int | None = N
     return rows.filter(F.col("node_json").startswith("{")) if only_objects else rows
 
 
+_TOKEN = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{}\[\],:]|[^\s{}\[\],:"]++', re.S)
+
+
+def _written(path: list) -> tuple[str, str]:
+    """Pointer and order of a path of names and positions."""
+    pointer = "".join(f"/{p.replace('~', '~0').replace('/', '~1')}" if isinstance(p, str) else f"/{p}" for p in path)
+    return pointer, "".join(f"/{p}" if isinstance(p, str) else f"/{p:08}" for p in path)
+
+
+def objects_with(text: str, members: dict[str, str], stop: bool):
+    """(pointer, order, start, end) of the objects in a valid JSON text that have all ``members``.
+
+    A member's value has to begin with the given character, or may be anything for "". Kept are the open
+    brackets only: for each its place, the name or index it stands under and the members met so far. With
+    ``stop`` nothing inside a match is a match.
+    """
+    wanted = {name: 1 << i for i, name in enumerate(members)}
+    whole = (1 << len(members)) - 1
+    stack: list[list] = []  # [start, is object, members met, key or position of the next value, written way to it]
+    found: list[tuple[str, str, int, int]] = []
+    named = False  # a key was read and its value comes next
+    for m in _TOKEN.finditer(text):
+        t = m.group()
+        first = t[0]
+        top = stack[-1] if stack else None
+        if first in ",:":
+            named = first == ":"
+            if first == "," and not top[1]:
+                top[3] += 1
+            continue
+        if first in "}]":
+            start, is_object, met = stack.pop()[:3]
+            if is_object and met == whole:
+                if stop:
+                    while found and found[-1][2] > start:
+                        found.pop()
+                pointer = order = ""
+                if stack:  # the way to the bracket around it is written once for all its matches
+                    around = stack[-1]
+                    around[4] = around[4] or _written([frame[3] for frame in stack[:-1]])
+                    pointer, order = (a + b for a, b in zip(around[4], _written([around[3]]), strict=True))
+                found.append((pointer, order, start, m.end()))
+            named = False
+            continue
+        if top and top[1] and not named and first == '"':
+            top[3] = json.loads(t) if "\\" in t else t[1:-1]
+            continue
+        if top and top[1] and top[3] in wanted and t.startswith(members[top[3]]):
+            top[2] |= wanted[top[3]]
+        if first in "{[":
+            stack.append([m.start(), first == "{", 0, None if first == "{" else 0, None])
+        named = False
+    found.sort(key=lambda f: f[2])
+    return found
+
+
+def find_objects(df: DataFrame, column: str, keep: list[str], members: dict[str, str], stop: bool = False) -> DataFrame:
+    """X10 for records of a known shape: (keep, pointer, ord, node) of the objects that have the members.
+
+    Only these are cut out of the text, parsed and printed; a text of any depth is read with memory for its open brackets.
+    Texts that are no JSON give no rows.
+    """
+    fields = df.select(*keep).schema.fields
+    schema = T.StructType([*fields, T.StructField("pointer", T.StringType()), T.StructField("ord", T.StringType()), T.StructField("node_text", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            rows, pointers, orders, texts = [], [], [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for pointer, order, start, end in objects_with(text, members, stop) if text else ():
+                    rows.append(i)
+                    pointers.append(pointer)
+                    orders.append(order)
+                    texts.append(text[start:end])
+            kept = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.string()) for x in (pointers, orders, texts))], [*batch.schema.names[:-1], "pointer", "ord", "node_text"])
+
+    valid = F.when(F.try_parse_json(column).isNotNull(), F.col(column)).alias("_text")
+    cut = df.select(*keep, valid).mapInArrow(run, schema)
+    return computed(cut, node=F.try_parse_json("node_text")).drop("node_text")
+
+
 def resolve_pointers(claims: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """X11: the value each claim's pointer leads to in its own document; NULL when it leads nowhere."""
     found = nodes.select(*keys, F.col("pointer").alias("json_pointer"), F.col("node_json").alias("resolved_json"))

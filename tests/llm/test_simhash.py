@@ -82,3 +82,12 @@ def test_rows_kept(spark):
     assert kept == [(3, "z y x w v u t s", "r"), (7, "a b c d e f g h", "q"), (9, "", "s")]
     assert simhash.near_groups(docs.limit(0)).count() == 0
     assert simhash.keep_one(docs.limit(0)).columns == docs.columns
+
+
+def test_kept_rows_keep_their_columns(spark):
+    """Names with dots and names that the stage makes itself stay the caller's."""
+    rows = [(1, "one two three four", "a", 5, "x"), (2, "one two three four", "b", 6, "y"), (None, None, "c", 7, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, _row_tag int, kept_id string")
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([rows[0], rows[2]], key=str)

@@ -321,8 +321,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     and of rows equal in both, one.
     """
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("tag").alias("z"))
+    columns = docs.columns
     chosen = near_groups(docs, shingle, distance).groupBy("component").agg(F.min(order).alias("o"))
-    chosen = chosen.select(F.col("o.y").alias("_kept_id"), F.col("o.z").alias("_kept_tag"))
-    tagged = docs.withColumn("_row_tag", F.xxhash64(F.col("text").cast("string")))
-    kept = tagged.join(chosen, tagged["doc_id"].cast("long").eqNullSafe(chosen["_kept_id"]) & (tagged["_row_tag"] == chosen["_kept_tag"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_row_tag"]).select(*docs.columns)
+    chosen = chosen.select(F.col("o.y").alias("kept_id"), F.col("o.z").alias("kept_tag"))
+    # The row travels packed, so that no name of it meets one made here.
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("tag"))
+    kept = packed.join(chosen, packed["id"].eqNullSafe(chosen["kept_id"]) & (packed["tag"] == chosen["kept_tag"]), "left_semi")
+    return kept.dropDuplicates(["id", "tag"]).select(*[F.col(f"row.`{c}`").alias(c) for c in columns])

@@ -38,8 +38,25 @@ def test_segments(monkeypatch):
     want, _ = grams.counts(text)
     monkeypatch.setattr(language, "SEGMENT", 50)
     got, _ = language.Grams().counts(text)
-    # Bigrams and trigrams in an overlap of two segments are counted by both; all others once.
-    assert (got >= want).all() and (got - want).sum() <= 6 * (len(text) // 50 + 1)
+    assert (got == want).all()
+
+
+def test_many_repeats_are_counted():
+    counts, _ = language.Grams().counts("ab " * 300_000)
+    assert counts.sum() == 6 * 300_000 and counts.max() >= 300_000  # three bigrams, two trigrams, one of four
+
+
+def test_unknown_languages_are_rejected(spark):
+    """Texts of no learned language, and each language left out of the fit in turn."""
+    model = language.fit(spark.createDataFrame(list(texts(300, 1)), SCHEMA))
+    foreign = ["Hyvää huomenta kaikille, tänään sataa vettä koko päivän", "Dzień dobry wszystkim, dzisiaj będzie padał deszcz przez cały dzień", "今天全天都会下雨请大家记得带伞出门"]
+    assert not any(model.predict(t * 3)[2] for t in foreign)
+    for left in SYLLABLES:
+        train = [r for r in texts(300, 3) if r[2] != left]
+        model = language.fit(spark.createDataFrame(train, SCHEMA))
+        strange = [t for _, t, lang, _ in texts(120, 4) if lang == left and len(t) > 60]
+        known = [t for _, t, lang, _ in texts(120, 4) if lang != left]
+        assert sum(model.predict(t)[2] for t in strange) <= len(strange) // 20 and sum(model.predict(t)[2] for t in known) >= len(known) * 0.97
 
 
 def test_nothing_to_learn(spark):

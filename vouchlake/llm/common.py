@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 QUERIES: dict = {}
@@ -33,6 +34,16 @@ def bounded_batches(df: DataFrame) -> SparkSession:
     return spark
 
 
+class Shared:
+    """A broadcast object whose class travels with it, so executors need no copy of the package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def load(self):
+        return cloudpickle.loads(self.packed.value)
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

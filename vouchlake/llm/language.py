@@ -6,8 +6,11 @@ embeddings, over the whole text, worked off in segments. Embeddings and softmax
 by stochastic gradient descent on the driver, on the n-gram counts of a bounded sample: at
 most ``ROWS`` labelled rows, drawn by a hash of the row, each as a whole and as
 ``SNIPPETS`` short pieces, so that short texts are met in training. One row in five stays out of the fit; on
-these the softmax temperature is set, and the confidence under which a document is
-rejected: the ``REJECT`` quantile of those labelled texts' own confidences, ``EVEN`` at most.
+these the softmax temperature is set, and two bounds under which a document is rejected. One is
+its confidence: the ``REJECT`` quantile of those labelled texts' own confidences, ``EVEN`` at most.
+The softmax has to choose among the learned languages, so the other asks whether the text is written as the
+chosen one is: the mean log-probability of its n-grams in that language, in standard deviations
+for as many different n-grams, may be ``STRANGE`` times as low as that of any held-out text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected;
 with nothing to learn from every row is; null, repeated and equal rows each give a row; an
@@ -20,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vouchlake.llm.common import bounded_batches
+from vouchlake.llm.common import Shared, bounded_batches
 
 ROWS = 2000
 SNIPPETS = 3
@@ -32,6 +35,8 @@ RATE = 4.0
 REJECT = 0.001
 #: A language with at least this calibrated chance is never rejected.
 EVEN = 0.5
+#: How much less usual than the least usual held-out text a document may be.
+STRANGE = 2.0
 SEGMENT = 1 << 20
 
 
@@ -45,9 +50,10 @@ class Grams:
         if self.letters is None:
             self.letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
         total, lettered = np.zeros(BUCKETS, np.int64), False
-        # Segments overlap by three characters, so that every n-gram lies in one of them.
-        for at in range(0, max(len(text), 1), SEGMENT):
-            codes = np.frombuffer((" " * (at == 0) + text[at : at + SEGMENT + 3].lower() + " " * (at + SEGMENT + 3 >= len(text))).encode("utf-32-le", "replace"), np.uint32)
+        text = f" {text.lower()} "
+        # Segments overlap by three characters; an n-gram belongs to the segment it begins in.
+        for at in range(0, len(text), SEGMENT):
+            codes = np.frombuffer(text[at : at + SEGMENT + 3].encode("utf-32-le", "replace"), np.uint32)
             solid = self.letters[codes]
             lettered = lettered or bool(solid.any())
             codes = np.where(solid, codes, np.uint32(32))
@@ -64,7 +70,7 @@ class Grams:
                     inner = inner[:m] & solid[n - 2 : n - 2 + m]
                     keep = inner
                 here = (mixed ^ (mixed >> np.uint32(13))) % np.uint32(BUCKETS)
-                total += np.bincount(here[keep], minlength=BUCKETS)
+                total += np.bincount(here[:SEGMENT][keep[:SEGMENT]], minlength=BUCKETS)
         return total, lettered
 
 
@@ -72,18 +78,35 @@ class Model:
     def __init__(self, labels: list[str], embed: np.ndarray, out: np.ndarray, bias: np.ndarray):
         self.labels, self.embed, self.out, self.bias = labels, embed, out, bias
         self.heat, self.bound = 1.0, 0.0
+        #: Log-probability of each bucket in each language, its mean and deviation, and the least that is usual.
+        self.usual = np.zeros((len(labels), BUCKETS), np.float32)
+        self.mean, self.spread, self.least = np.zeros(len(labels)), np.ones(len(labels)), -np.inf
         self.grams = Grams()
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
         return (counts @ self.embed / max(counts.sum(), 1)) @ self.out + self.bias
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def learn_usual(self, counts: np.ndarray) -> None:
+        """Bucket counts of each language's texts, as (languages, buckets)."""
+        chance = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
+        self.usual = np.log(chance).astype(np.float32)
+        self.mean = (chance * self.usual).sum(axis=1)
+        self.spread = np.sqrt((chance * (self.usual - self.mean[:, None]) ** 2).sum(axis=1))
+
+    def usualness(self, counts: np.ndarray, language: int) -> float:
+        """Deviations from a language's mean log-probability; repeated n-grams count as one the more they prevail."""
+        total = counts.sum()
+        different = total * total / max(float((counts.astype(np.float64) ** 2).sum()), 1.0)
+        return float((counts @ self.usual[language] / total - self.mean[language]) / self.spread[language] * np.sqrt(different))
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, its chance and whether both bounds are met."""
         counts, lettered = self.grams.counts(text) if text else (None, False)
         if not lettered or not self.labels:
-            return "und", 0.0
+            return "und", 0.0, False
         chance = _softmax(self.logits(counts) / self.heat)
         best = int(chance.argmax())
-        return self.labels[best], float(chance[best])
+        return self.labels[best], float(chance[best]), bool(chance[best] >= self.bound and self.usualness(counts, best) >= self.least)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -116,7 +139,7 @@ def _sample(labelled: DataFrame, rows: int, seed: int) -> list:
                     counts, lettered = grams.counts(piece)
                     if lettered:
                         at = np.flatnonzero(counts)
-                        out.append((label, part, order, at.astype(np.uint16).tobytes(), np.minimum(counts[at], 65535).astype(np.uint16).tobytes()))
+                        out.append((label, part, order, at.astype(np.uint16).tobytes(), counts[at].astype(np.uint32).tobytes()))
             if out:
                 types = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["label", "part", "o", "at", "n"])
@@ -128,7 +151,7 @@ def _sample(labelled: DataFrame, rows: int, seed: int) -> list:
 def fit(labelled: DataFrame, rows: int = ROWS, seed: int = 5) -> Model:
     """Fit on (doc_id, text, lang); at most ``rows`` rows are used."""
     bounded_batches(labelled)
-    sample = [(r["label"], r["part"], r["o"], np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.uint16).astype(np.float32)) for r in _sample(labelled, rows, seed)]
+    sample = [(r["label"], r["part"], r["o"], np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.uint32).astype(np.float32)) for r in _sample(labelled, rows, seed)]
     labels = sorted({r[0] for r in sample})
     rng = np.random.default_rng(seed)
     embed = ((rng.random((BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32)
@@ -163,6 +186,17 @@ def fit(labelled: DataFrame, rows: int = ROWS, seed: int = 5) -> Model:
     model.heat = float(min(np.geomspace(0.25, 8, 41), key=loss))
     whole = np.array([r[1] == 0 for r in judged])
     sure = _softmax(scores / model.heat).max(axis=1)
+    usual = np.zeros((len(labels), BUCKETS))
+    for label, _, _, at, n in inner:
+        usual[number[label], at] += n
+    model.learn_usual(usual)
+    seen = []
+    for k, r in enumerate(judged):
+        if int(scores[k].argmax()) == truth[k]:
+            counts = np.zeros(BUCKETS, np.float32)
+            counts[r[3]] = r[4]
+            seen.append(model.usualness(counts, int(truth[k])))
+    model.least = STRANGE * min(seen, default=-np.inf) if min(seen, default=-1.0) < 0 else -np.inf
     model.bound = min(EVEN, float(np.quantile(sure[whole] if whole.any() else sure, REJECT, method="lower")))
     return model
 
@@ -170,14 +204,14 @@ def fit(labelled: DataFrame, rows: int = ROWS, seed: int = 5) -> Model:
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """doc_id (or the ``keep`` columns and the text) with lang_pred, score and accepted."""
     spark = bounded_batches(docs)
-    shared = spark.sparkContext.broadcast(model)
+    shared = Shared(spark, model)
     rows = docs.select(*(keep or ["doc_id"]), F.col("text").cast("string").alias("_text"))
 
     def run(batches):
+        model = shared.load()
         for batch in batches:
-            out = [shared.value.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            names, scores = zip(*out) if out else ((), ())
-            sure = [n != "und" and s >= shared.value.bound for n, s in out]
+            out = [model.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            names, scores, sure = zip(*out) if out else ((), (), ())
             columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score", "accepted"])
 

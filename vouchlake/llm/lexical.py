@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vouchlake.llm.common import bounded_batches, mix64
+from vouchlake.llm.common import Shared, bounded_batches, mix64
 from vouchlake.llm.components import stored
 from vouchlake.llm.decontaminate import words_of
 from vouchlake.session import forget, scratch
@@ -224,7 +224,7 @@ def _seeds_task(held, seeds: int):
     """A task's ``seeds`` highest bounds of each item."""
 
     def run(batches):
-        items = held.value
+        items = held.load()
         hashes = items.hashes()
         best, ids = np.zeros((len(items.ids), 0)), np.zeros((len(items.ids), 0), np.int64)
         for width, own, sizes, slices in _blocks_of(batches):
@@ -243,7 +243,7 @@ def _left_task(held):
     """Ids of the documents that the bounds do not exclude from every item."""
 
     def run(batches):
-        items = held.value
+        items = held.load()
         hashes = items.hashes()
         # A bound is a sum of integers; beyond 2^53 it may be rounded.
         bars = items.bars[:, None] * (1 - 1e-9)
@@ -265,7 +265,7 @@ def _score_task(held, k: int):
         return [x[order][rank < k] for x in columns]
 
     def run(batches):
-        items = held.value
+        items = held.load()
         kept = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
         for batch in batches:
             found = [kept]
@@ -361,12 +361,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
 
 
 def _search_part(spark, docs: DataFrame, index: DataFrame, items: Items, k: int) -> DataFrame:
-    held = spark.sparkContext.broadcast(items)
+    held = Shared(spark, items)
     bounds = index.mapInArrow(_seeds_task(held, max(SEEDS, k)), "item int, bound double, id long")
     top = Window.partitionBy("item").orderBy(F.desc("bound"))
     seeds, _ = stored(bounds.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max(SEEDS, k)).select("id"), "seeds")
     for r in _ranked(_scored(docs, seeds, held, k), k).filter(F.col("rank") == k).select("item", "score").collect():
         items.bars[r["item"]] = r["score"]
-    barred = spark.sparkContext.broadcast(items)
+    barred = Shared(spark, items)
     left, _ = stored(index.mapInArrow(_left_task(barred), "id long"), "left")
     return _ranked(_scored(docs, left, barred, k), k)

@@ -8,8 +8,8 @@ Embedding, filters and layer are learned by mini-batch gradient descent (Adam);
 gradient of a maximum goes to the bytes at its place. For scoring, embedding and filters
 fold into tables over byte pairs.
 
-Learning takes at most ``ROWS`` labelled rows, drawn by a hash of the id, and of each at
-most ``CHUNKS`` chunks, drawn likewise; scoring covers whole texts.
+Learning takes at most ``ROWS`` labelled rows, drawn by a hash of the id, with every chunk of
+each; a mini-batch works its chunks off ``GROUP`` at a time. Scoring covers whole texts.
 
 Defined cases: null and empty texts have no chunk and get the layer's bias; a label or id
 that is null, or a label whose document is missing, is not learned from; conflicting or
@@ -23,16 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vouchlake.llm.common import bounded_batches
+from vouchlake.llm.common import Shared, bounded_batches
 
-ROWS = 4000
-CHUNKS = 12
+ROWS = 3000
 CHUNK = 512
 WIDTH = 6
 FILTERS = 32
 DIM = 8
 EPOCHS = 6
 BATCH = 32
+#: Chunks of a mini-batch whose filters are held at once.
+GROUP = 256
 RATE = 0.01
 #: Bytes of one document that are scored together.
 SEGMENT = 1 << 18
@@ -98,6 +99,16 @@ class Network:
                     self.p[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)
         self.pairs = None
 
+    def _maxima(self, one, data, sizes):
+        """Place and value of each filter's maximum in each chunk."""
+        n = CHUNK - WIDTH + 1
+        sums = one[0][data[:, :n]]
+        for w in range(1, WIDTH):
+            sums += one[w][data[:, w : w + n]]
+        sums[np.arange(n)[None, :] > np.maximum(sizes - WIDTH, 0)[:, None]] = -np.inf
+        place = sums.argmax(axis=1)
+        return place, np.take_along_axis(sums, place[:, None, :], axis=1)[:, 0] + self.p["shift"]
+
     def _gradient(self, docs) -> dict[str, np.ndarray]:
         chunks = [c for _, cs in docs for c in cs]
         owner = np.repeat(np.arange(len(docs)), [len(cs) for _, cs in docs])
@@ -106,13 +117,7 @@ class Network:
         for k, c in enumerate(chunks):
             data[k, : len(c)] = c
         one = np.einsum("bd,wdf->wbf", self.p["embed"], self.p["filters"])
-        n = CHUNK - WIDTH + 1
-        sums = one[0][data[:, :n]]
-        for w in range(1, WIDTH):
-            sums += one[w][data[:, w : w + n]]
-        sums[np.arange(n)[None, :] > np.maximum(sizes - WIDTH, 0)[:, None]] = -np.inf
-        place = sums.argmax(axis=1)
-        top = np.take_along_axis(sums, place[:, None, :], axis=1)[:, 0] + self.p["shift"]
+        place, top = (np.concatenate(x) for x in zip(*(self._maxima(one, data[a : a + GROUP], sizes[a : a + GROUP]) for a in range(0, max(len(data), 1), GROUP)), strict=True))
         pooled = np.maximum(top, 0)
         count = np.maximum(np.bincount(owner, minlength=len(docs)), 1)
         mean = np.zeros((len(docs), FILTERS), pooled.dtype)
@@ -139,11 +144,8 @@ class Network:
         return grad
 
 
-def _chunks(text: bytes, order: int) -> list[bytes]:
-    heads = list(range(0, max(len(text) - WIDTH + 1, 1), CHUNK - WIDTH + 1)) if text else []
-    if len(heads) > CHUNKS:
-        heads = sorted(np.random.default_rng(order % (1 << 32)).choice(heads, CHUNKS, replace=False).tolist())
-    return [text[h : h + CHUNK] for h in heads]
+def _chunks(text: bytes) -> list[bytes]:
+    return [text[h : h + CHUNK] for h in range(0, max(len(text) - WIDTH + 1, 1), CHUNK - WIDTH + 1)] if text else []
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, seed: int = 3) -> Network:
@@ -159,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, seed: int = 3) ->
 
     def run(batches):
         for batch in batches:
-            out = [_chunks((t or "").encode(), o) for o, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            out = [_chunks((t or "").encode()) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.binary()))], ["quality", "o", "chunks"])
 
     sample = met.mapInArrow(run, "quality int, o long, chunks array<binary>").orderBy("o", "quality", "chunks").limit(rows).collect()
@@ -173,11 +175,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, seed: int = 3) ->
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
     """(doc_id, score) of each document: the probability of label 1."""
-    shared = bounded_batches(docs).sparkContext.broadcast(network)
+    shared = Shared(bounded_batches(docs), network)
 
     def run(batches):
+        network = shared.load()
         for batch in batches:
-            out = [shared.value.score(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]
+            out = [network.score(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

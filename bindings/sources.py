@@ -147,18 +147,38 @@ def _s9(spark, d):
     return out.select("event_id", F.col("ord").cast("bigint").alias("ord"), "value", F.when(F.col("error").isNull(), F.col("kind")).alias("kind"), "error")
 
 
+#: What a worker that died while it wrote left behind.
+TORN = '{"input_index":0,"ro'
+
+
+@query("s10_journal_rows", """SELECT conv_id AS input_index, turn, role FROM conversations""")
+def _s10(spark, d):
+    """Journal files as written by many workers, and one whose last write is torn."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("input_index"), "turn", "role")
+    path = scratch(spark, "journal")
+    c.select(F.to_json(F.struct(*c.columns))).write.text(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-torn.txt")
+    cut = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop)
+    cut.write(bytearray(TORN.encode()))
+    cut.close()
+    rows = landing.read_journal(spark, path)
+    return rows.select(F.from_json("row_json", "input_index bigint, turn bigint, role string").alias("r")).select("r.*")
+
+
 @query(
-    "s10_journal_rows",
-    """SELECT conv_id, turn, '{"input_index":' || conv_id || ',"role":"' || role || '"}' AS row_json FROM conversations
-      WHERE NOT (turn = (SELECT max(turn) FROM conversations c WHERE c.conv_id = conversations.conv_id) AND conv_id % 3 = 0)""",
+    "s2_breaks_in_quotes",
+    f"""SELECT {key_sql('doc_id')} AS organisasjonsnummer, replace(text, chr(13), ' ') AS note FROM documents WHERE text IS NOT NULL AND text <> '' AND doc_id % 5 <> 0""",
 )
-def _s10(spark, d):
-    c = table(spark, d, "conversations")
-    ends = c.groupBy("conv_id").agg(F.max("turn").alias("_end"))
-    c = c.join(ends, "conv_id").withColumn("torn", (F.col("turn") == F.col("_end")) & (F.col("conv_id") % 3 == 0))
-    line = F.to_json(F.struct(F.col("conv_id").alias("input_index"), "role"))
-    c = c.withColumn("line", F.when(F.col("torn"), F.substring(line, 1, 9)).otherwise(line))
-    return landing.journal_rows(c, ["conv_id", "turn"], "line", F.col("torn"))
+def _s2q(spark, d):
+    """Whole texts with their line breaks and quotes as cells of a delivered file."""
+    docs = table(spark, d, "documents").filter("text is not null and text <> '' and doc_id % 5 <> 0")
+    key = org_key(F.col("doc_id")).alias("organisasjonsnummer")
+    quoted = F.concat(F.lit('"'), F.replace(F.translate("text", "\r", " "), F.lit('"'), F.lit('""')), F.lit('"'))
+    path = scratch(spark, "csv")
+    rows = docs.select(F.concat_ws(",", key, quoted).alias("value"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+    head = rows.groupBy("p").agg(F.lit("organisasjonsnummer,note").alias("value"), F.lit(-1).cast("bigint").alias("i"))
+    rows.unionByName(head).repartition("p").sortWithinPartitions("p", "i").select("p", "value").write.partitionBy("p").text(path)
+    return bulk.read_bulk_csv(spark, f"{path}/*/*", multi_line=True).drop("_corrupt")
 
 
 @query("k1_snapshots", "SELECT sha256(text) AS content_sha256, '.html' AS suffix, strlen(text)::BIGINT AS n FROM documents GROUP BY text")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vouchlake.functions.canon import canonical_json, computed
 from vouchlake.operators.registry_facts import node_json, unquoted
+from .lines import quoted_records, read_lines
 
 KEY = "organisasjonsnummer"
 FORMAT = "vouchlake_bulk_v1"
@@ -20,7 +21,7 @@ def read_bulk_csv(spark: SparkSession, path: str, wanted: DataFrame | None = Non
     """Delimiter from the header line, BOM tolerated, only wanted keys kept.
 
     Every file's header must name the same columns in the same order. ``multi_line``
-    allows line breaks inside quotes; a file is then read by one task.
+    allows line breaks inside quotes; a large file is read by many tasks either way.
     """
     head = spark.read.text(path).limit(1).first()
     header = (head[0] if head else "").lstrip("\ufeff")
@@ -29,11 +30,12 @@ def read_bulk_csv(spark: SparkSession, path: str, wanted: DataFrame | None = Non
     if key not in names or len(set(names)) != len(names):
         raise ValueError("invalid_bulk_header")
     schema = ", ".join(f"`{n}` STRING" for n in names) + ", `_corrupt` STRING"
-    # Pruned parsing would not see cells beyond the header.
-    rows = spark.read.option("columnPruning", "false").csv(
-        path, schema=schema, sep=sep, header=True, quote='"', escape='"', multiLine=multi_line, enforceSchema=False,
-        mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", emptyValue="",
-    )
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "emptyValue": ""}
+    if multi_line:
+        rows = _records(spark, path, names, schema, options)
+    else:
+        # Pruned parsing would not see cells beyond the header.
+        rows = spark.read.option("columnPruning", "false").options(**options).csv(path, schema=schema, header=True, enforceSchema=False)
     if wanted is not None:
         rows = rows.join(wanted.select(F.col(wanted.columns[0]).alias(key)).distinct(), key, "left_semi")
     # Extra columns on a wanted row are fatal; rows nobody asked for are never judged. The guard
@@ -44,6 +46,20 @@ def read_bulk_csv(spark: SparkSession, path: str, wanted: DataFrame | None = Non
     return rows.filter(F.when(F.col("_fault"), fault).otherwise(F.lit(True))).drop("_fault")
 
 
+def _records(spark: SparkSession, path: str, names: list[str], schema: str, options: dict[str, str]) -> DataFrame:
+    """Parsed records that may hold line feeds in quotes; each file's first record has to be the header."""
+    lines = read_lines(spark, path)
+    plain = F.regexp_replace("record", "\\r\\z", "")
+    records = quoted_records(lines).withColumn("record", plain).filter("record <> ''")
+    first = records.groupBy(F.col("file").alias("_file")).agg(F.min(F.struct("block", "seq")).alias("_first"))
+    marked = records.join(first, F.col("file") == F.col("_file")).withColumn("_head", F.struct("block", "seq") == F.col("_first"))
+    cells = F.from_csv("record", schema, options)
+    told = F.split(F.regexp_replace(F.regexp_replace("record", "\\A\ufeff", ""), '"', ""), "\\Q" + options["sep"] + "\\E")
+    wrong = F.col("_head") & (told != F.array(*[F.lit(n) for n in names]))
+    checked = marked.filter(F.when(wrong, F.raise_error(F.lit("invalid_bulk_header")).cast("boolean")).otherwise(F.lit(True))).filter(~F.col("_head"))
+    return computed(checked, _row=cells).select(*[F.col(f"_row.`{n}`").alias(n) for n in names], "_row._corrupt")
+
+
 def read_bulk_jsonl(spark: SparkSession, path: str, wanted: DataFrame | None = None, key: str = KEY) -> DataFrame:
     """S3: one object per line of any length; anything else is fatal."""
     lines = spark.read.text(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .lines import PLACE, read_lines, with_torn
 from vouchlake.functions import fixed, urls
 from vouchlake.functions.canon import computed
 from vouchlake.functions.keys import is_valid_key
@@ -79,11 +80,10 @@ def candidates_from_search(responses: DataFrame, keep: list[str], body: str = "b
     )
 
 
-def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Completion rows; a malformed line is kept as ``_corrupt`` for the caller to judge."""
-    return spark.read.schema(f"{schema}, _corrupt STRING").option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "_corrupt"
-    ).json(path)
+def read_journal(spark: SparkSession, path) -> DataFrame:
+    """Completion lines of journal files as (file, block, seq, row_json); a torn last write of a file is dropped, other damage is fatal."""
+    lines = with_torn(read_lines(spark, path))
+    return journal_rows(lines.filter(F.trim("line") != ""), PLACE, "line", F.col("torn"))
 
 
 def journal_rows(lines: DataFrame, order: list[str], text: str, torn: Column) -> DataFrame:

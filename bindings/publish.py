@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vouchlake.operators import registry_facts as RF
-from vouchlake.plans import contract as C, report as P, summary as S
+from vouchlake.plans import contract as C, report as P, search, summary as S
 from vouchlake.session import durable, scratch
 from vouchlake.sinks import tables as K
 
@@ -152,6 +152,14 @@ def _c19(spark, d):
     return P.search_profiles(docs, " EN the ", ["doc_id", "lang", "source"], "values").select("doc_id")
 
 
+@query("c19_indexed_search", "SELECT doc_id FROM documents WHERE contains(lower(doc_id || ' ' || lang || ' ' || source || ' ' || text), 'en the')")
+def _c19i(spark, d):
+    path = scratch(spark, "index")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.array("text").alias("values"))
+    search.build_index(docs, "doc_id", search.searched_text(["doc_id", "lang", "source"], "values"), path)
+    return search.search_index(spark, path, " EN the ").select(F.col("key").alias("doc_id"))
+
+
 @query(
     "c20_label_sources",
     """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'JSON-LD block 3 · Pointer: (root)' WHEN 1 THEN 'JSON pointer: /a' WHEN 2 THEN 'Text span: [' || (event_id % 9) || ', ' || (event_id % 9 + 5) || ']' ELSE 'HTML meta description' END AS locator,

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from vouchlake.plans import recover, refresh as R
+from vouchlake.plans import intervals, recover, refresh as R
+from vouchlake.session import durable, scratch
 
 from .common import key_sql, org_key, query, table
 from .derive import OBS_SQL, STATEMENTS_SQL, observations, statements
@@ -124,3 +125,27 @@ def _c6(spark, d):
 def _c7(spark, d):
     inputs, rows = journal(spark, d)
     return recover.finalize(inputs, rows, ["turn"], "bulk", "r1", "2024-01-03T00:00:00+00:00", True).drop("organisation_number")
+
+
+AS_OF = ("2024-01-05", "2024-01-12", "2024-01-20")
+
+
+@query(
+    "k2_views_as_of",
+    f"""WITH {OBS_SQL}, r AS (SELECT unnest([{", ".join(f"'{t}'" for t in AS_OF)}]) AS seen_at)
+    SELECT seen_at, user_id, event_type, arg_max(v, (ts, event_id)) AS v FROM obs JOIN r ON day <= seen_at WHERE NOT (seen_at = '{AS_OF[1]}' AND user_id % 3 = 0 AND day > '{AS_OF[0]}') GROUP BY 1, 2, 3""",
+)
+def _k2v(spark, d):
+    """Three runs merged into intervals, each read back as of its time; in the second every third entity failed and keeps what it had."""
+    obs, path = durable(observations(spark, d)), scratch(spark, "intervals")
+    at = [None, *AS_OF]
+    for before, now in zip(at, at[1:]):
+        failed = (F.col("user_id") % 3 == 0) & (F.col("day") > AS_OF[0]) if now == AS_OF[1] else F.lit(False)
+        seen = obs.filter((F.col("day") <= now) & ~failed)
+        view = seen.groupBy("user_id", "event_type").agg(F.max_by("v", F.struct("ts", "event_id")).alias("v"))
+        intervals.merge_run(spark, view, path, now, before)
+    out = None
+    for now in AS_OF:
+        rows = intervals.as_of(spark, path, now, AS_OF[-1]).select(F.lit(now).alias("seen_at"), "user_id", "event_type", "v")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -246,3 +246,43 @@ def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataF
     rows = _scanned(docs, benchmark, window, [F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")])
     found = judged(rows.select("_row", *[F.col(c).alias(c[1:]) for c in FOUND]))
     return found.filter("not contaminated").select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
+
+
+def _cut_task(batches):
+    """The text without the words of each span in the last column; what stands between words stays."""
+    for batch in batches:
+        texts = []
+        for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
+            if not text.is_valid or not spans:
+                texts.append(text.as_py())
+                continue
+            raw = text.as_buffer().to_pybytes()
+            folded = np.frombuffer(raw.translate(FOLD), np.uint8)
+            first, last = spans_of(np.flatnonzero(folded != 32))
+            pieces, at = [], 0
+            for x in spans:
+                pieces.append(raw[at : first[x["start"]]])
+                at = last[x["end"] - 1]
+            texts.append(b"".join([*pieces, raw[at:]]).decode())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], batch.schema.names)
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, length: int = 13, coverage: float = 0.05) -> DataFrame:
+    """The documents without the spans that exceed a limit; all rows and columns stay.
+
+    A span is a maximal run of hit words. It goes if it has ``length`` words or more; every span
+    of a document goes if hit words are at least ``coverage`` of its words. Both are judged on the
+    input: words that meet where a span stood are not searched again. Texts without a span to
+    remove, null ones included, are unchanged; ``n_chars`` follows the text where it exists; texts
+    of any length are cut whole, one document at a time.
+    """
+    columns = docs.columns
+    rows = _scanned(docs, benchmark, window, [F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")])
+    n_hit = F.aggregate("_hits", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    cut = F.when(n_hit >= coverage * F.col("_n_words"), F.col("_hits")).otherwise(F.filter("_hits", lambda x: x["end"] - x["start"] >= length))
+    rows = rows.select("_row", "_text", cut.alias("_cut"))
+    rows = rows.mapInArrow(_cut_task, rows.schema)
+    own = {c: F.col(f"_row.`{c}`") for c in columns} | {"text": F.col("_text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.size("_cut") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return rows.select(*[own[c].alias(c) for c in columns])

@@ -59,6 +59,23 @@ def _s3(spark, d):
     return bulk.parse_bulk_jsonl(lines, "value", c.filter("role = 'user'").select("key"))
 
 
+@query(
+    "s1_read_inputs",
+    """SELECT row_number() OVER (ORDER BY CASE WHEN c_nationkey < 12 THEN 0 ELSE 1 END, c_custkey) - 1 AS input_index, c_custkey::VARCHAR AS organisation_number
+      FROM customer""",
+)
+def _s1_files(spark, d):
+    """Real files: plain ones and packed ones, as text and as JSON lines."""
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") < 12).alias("plain"))
+    num = F.col("c_custkey").cast("string")
+    line = F.when(F.col("c_custkey") % 2 == 0, num).otherwise(F.concat(F.lit('{"organisation_number":"'), num, F.lit('"}')))
+    path = scratch(spark, "inputs")
+    for name, side, codec in (("a", "plain", "none"), ("b", "not plain", "gzip")):
+        rows = c.filter(side).repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey")
+        rows.select(line.alias("value")).write.text(f"{path}/{name}", compression=codec)
+    return inputs.read_inputs(spark, f"{path}/*").select(F.col("input_index").cast("bigint").alias("input_index"), "organisation_number")
+
+
 @query("s4_duplicate_keys", "SELECT o_custkey, count(*) AS copies FROM orders GROUP BY 1 HAVING count(*) > 1")
 def _s4(spark, d):
     return bulk.duplicate_keys(table(spark, d, "orders"), "o_custkey")
@@ -97,6 +114,22 @@ def _s6(spark, d):
     return bulk.unwrap_bulk(wrapped).select("p_partkey", "unwrap_error", "record_json")
 
 
+@query(
+    "s6_read_bulk",
+    f"""WITH l AS (SELECT c_nationkey % 5 AS g, c_custkey, {key_sql('c_custkey')} AS k, '{{"navn":"' || c_name || '","organisasjonsnummer":"' || {key_sql('c_custkey')} || '"}}' AS line FROM customer),
+    h AS (SELECT g, sha256(string_agg(line || chr(10), '' ORDER BY c_custkey)) AS file_sha256 FROM l GROUP BY g)
+    SELECT k AS organisasjonsnummer, 'jsonl' AS encoding, file_sha256, line AS record_json FROM l JOIN h USING (g) WHERE c_custkey % 3 <> 0""",
+)
+def _s6_files(spark, d):
+    """Five files of JSON lines on disk, each row with the hash of the file it stands in."""
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") % 5).alias("g"), F.col("c_name").alias("navn"), org_key(F.col("c_custkey")).alias("organisasjonsnummer"))
+    lines = c.repartition("g").sortWithinPartitions("g", "c_custkey").select("g", F.to_json(F.struct("navn", "organisasjonsnummer")).alias("value"))
+    path = scratch(spark, "bulk")
+    lines.write.partitionBy("g").text(path)
+    out = bulk.read_bulk(spark, f"{path}/g=*", c.filter("c_custkey % 3 <> 0").select("organisasjonsnummer"))
+    return out.select("organisasjonsnummer", "encoding", "file_sha256", "record_json")
+
+
 @query(
     "s7_mark_oversize",
     "SELECT page_id, CASE WHEN strlen(html) * 40 > 1000000 THEN 'response_size_limit' END AS size_error FROM pages",

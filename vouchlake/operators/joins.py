@@ -44,22 +44,26 @@ def resolve_refs(nodes: DataFrame, page: str, node_id: str, ref: str, order: str
 def comparable_periods(statements: DataFrame, keys: list[str], start: str, end: str, length_tol=7, end_tol=7) -> DataFrame:
     """Each statement with the latest comparable one of the year before.
 
-    Year ends are bucketed by the width of the tolerance, so this is an equi-join on
-    (keys, year, bucket) that meets at most two buckets; no range join remains.
+    Statements of one period (keys, start, end) are one: the pair cannot tell them apart, so a hot key shrinks to its
+    periods before it is shuffled. Year ends and lengths are bucketed by the width of their tolerances; this
+    is an equi-join on (keys, year, both buckets) in which a statement meets at most four buckets, and a bucket holds
+    no more periods than days squared, whatever the number of rows.
     """
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
-    bucket = lambda days: F.floor(days / (2 * end_tol + 1))
-    s = computed(statements, _year=F.year(end), _len=F.datediff(end, start), _day=day(F.col(end)))
-    new = s.withColumn("_at", F.explode(F.array_distinct(F.array(bucket(F.col("_day") - end_tol), bucket(F.col("_day") + end_tol)))))
+    bucket = lambda days, tol: F.floor(days / (2 * tol + 1))
+    both = lambda days, tol: F.explode(F.array_distinct(F.array(bucket(days - tol, tol), bucket(days + tol, tol))))
+    s = cap(statements, [*keys, end, start], [F.xxhash64(*[F.col(f"`{c}`") for c in statements.columns])], 1)
+    s = computed(s, _year=F.year(end), _len=F.datediff(end, start), _day=day(F.col(end)))
+    new = s.withColumn("_at", both(F.col("_day"), end_tol)).withColumn("_long", both(F.col("_len"), length_tol))
     old = computed(s, _ann=F.add_months(end, 12))
     old = old.select(
-        *keys, (F.col("_year") + 1).alias("_year"), bucket(day(F.col("_ann"))).alias("_at"), F.col("_ann").alias("prior__ann"),
-        *[F.col(c).alias(f"prior_{c}") for c in s.columns if c not in keys],
+        *keys, (F.col("_year") + 1).alias("_year"), bucket(day(F.col("_ann")), end_tol).alias("_at"), bucket(F.col("_len"), length_tol).alias("_long"),
+        F.col("_ann").alias("prior__ann"), *[F.col(c).alias(f"prior_{c}") for c in s.columns if c not in keys],
     )
-    joined = new.join(old, [*keys, "_year", "_at"])
+    joined = new.join(old, [*keys, "_year", "_at", "_long"])
     fits = (F.abs(F.col("_len") - F.col("prior__len")) <= length_tol) & (F.abs(F.datediff(end, "prior__ann")) <= end_tol)
     best = cap(joined.filter(fits), [*keys, end, start], [F.col(f"prior_{end}").desc(), F.col(f"prior_{start}").desc()], 1)
-    return best.drop("_year", "_len", "_day", "_at", "prior__year", "prior__len", "prior__day", "prior__ann")
+    return best.drop("_year", "_len", "_day", "_at", "_long", "prior__year", "prior__len", "prior__day", "prior__ann")
 
 
 def prior_success(observations: DataFrame, keys: list[str], order: list[str], ok: Column, keep: Column) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vouchlake.functions.canon import canonical_json, computed
 from vouchlake.operators.registry_facts import node_json, unquoted
+from vouchlake.session import durable
+from .files import all_lines, file_facts
 from .lines import quoted_records, read_lines
 
 KEY = "organisasjonsnummer"
@@ -24,18 +26,27 @@ def read_bulk_csv(spark: SparkSession, path: str, wanted: DataFrame | None = Non
     allows line breaks inside quotes; a large file is read by many tasks either way.
     """
     head = spark.read.text(path).limit(1).first()
-    header = (head[0] if head else "").lstrip("\ufeff")
+    names, schema, options = _shape(head[0] if head else "", key)
+    if multi_line:
+        rows = _records(read_lines(spark, path), names, schema, options)
+    else:
+        # Pruned parsing would not see cells beyond the header.
+        rows = spark.read.option("columnPruning", "false").options(**options).csv(path, schema=schema, header=True, enforceSchema=False)
+    return _guarded(rows, wanted, key)
+
+
+def _shape(header: str, key: str) -> tuple[list[str], str, dict[str, str]]:
+    """Columns, schema and parser options that a header line tells."""
+    header = header.lstrip("\ufeff")
     sep = ";" if header.count(";") > header.count(",") else ","
     names = [n.strip('"') for n in header.rstrip("\r").split(sep)]
     if key not in names or len(set(names)) != len(names):
         raise ValueError("invalid_bulk_header")
     schema = ", ".join(f"`{n}` STRING" for n in names) + ", `_corrupt` STRING"
-    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "emptyValue": ""}
-    if multi_line:
-        rows = _records(spark, path, names, schema, options)
-    else:
-        # Pruned parsing would not see cells beyond the header.
-        rows = spark.read.option("columnPruning", "false").options(**options).csv(path, schema=schema, header=True, enforceSchema=False)
+    return names, schema, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "emptyValue": ""}
+
+
+def _guarded(rows: DataFrame, wanted: DataFrame | None, key: str) -> DataFrame:
     if wanted is not None:
         rows = rows.join(wanted.select(F.col(wanted.columns[0]).alias(key)).distinct(), key, "left_semi")
     # Extra columns on a wanted row are fatal; rows nobody asked for are never judged. The guard
@@ -46,9 +57,8 @@ def read_bulk_csv(spark: SparkSession, path: str, wanted: DataFrame | None = Non
     return rows.filter(F.when(F.col("_fault"), fault).otherwise(F.lit(True))).drop("_fault")
 
 
-def _records(spark: SparkSession, path: str, names: list[str], schema: str, options: dict[str, str]) -> DataFrame:
+def _records(lines: DataFrame, names: list[str], schema: str, options: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Parsed records that may hold line feeds in quotes; each file's first record has to be the header."""
-    lines = read_lines(spark, path)
     plain = F.regexp_replace("record", "\\r\\z", "")
     records = quoted_records(lines).withColumn("record", plain).filter("record <> ''")
     first = records.groupBy(F.col("file").alias("_file")).agg(F.min(F.struct("block", "seq")).alias("_first"))
@@ -57,7 +67,7 @@ def _records(spark: SparkSession, path: str, names: list[str], schema: str, opti
     told = F.split(F.regexp_replace(F.regexp_replace("record", "\\A\ufeff", ""), '"', ""), "\\Q" + options["sep"] + "\\E")
     wrong = F.col("_head") & (told != F.array(*[F.lit(n) for n in names]))
     checked = marked.filter(F.when(wrong, F.raise_error(F.lit("invalid_bulk_header")).cast("boolean")).otherwise(F.lit(True))).filter(~F.col("_head"))
-    return computed(checked, _row=cells).select(*[F.col(f"_row.`{n}`").alias(n) for n in names], "_row._corrupt")
+    return computed(checked, _row=cells).select(*keep, *[F.col(f"_row.`{n}`").alias(n) for n in names], "_row._corrupt")
 
 
 def read_bulk_jsonl(spark: SparkSession, path: str, wanted: DataFrame | None = None, key: str = KEY) -> DataFrame:
@@ -66,14 +76,43 @@ def read_bulk_jsonl(spark: SparkSession, path: str, wanted: DataFrame | None = N
     return parse_bulk_jsonl(lines, "value", wanted, key)
 
 
-def parse_bulk_jsonl(lines: DataFrame, text: str, wanted: DataFrame | None = None, key: str = KEY) -> DataFrame:
+def parse_bulk_jsonl(lines: DataFrame, text: str, wanted: DataFrame | None = None, key: str = KEY, keep: tuple[str, ...] = ()) -> DataFrame:
     kept = lines.filter(F.trim(text) != "")
     rows = computed(kept, _v=F.try_parse_json(text))
     fault = F.when(F.col("_v").isNull() | ~F.schema_of_variant("_v").startswith("OBJECT"), F.raise_error(F.lit("invalid_bulk_record")))
     rows = computed(rows, record_json=F.coalesce(fault.cast("string"), F.to_json("_v")), **{key: unquoted(node_json(F.col("_v"), f"$.{key}"))})
     if wanted is not None:
         rows = rows.join(wanted.select(F.col(wanted.columns[0]).alias(key)).distinct(), key, "left_semi")
-    return rows.select(key, "record_json")
+    return rows.select(*keep, key, "record_json")
+
+
+def read_bulk(spark: SparkSession, path: str, wanted: DataFrame | None = None, key: str = KEY) -> DataFrame:
+    """(key, encoding, file_sha256, record_json, record_error, body) of the wanted rows of files as delivered.
+
+    CSV or JSON lines is told by the first line, gzip by the first bytes. All files have to be of one kind, CSV files
+    of one header; empty files hold nothing. A wanted key that occurs twice fails the load. ``body`` is the row
+    wrapped with its file's hash, null where the row has an error.
+    """
+    # Files are hashed once, although kinds, headers and hashes are all asked for.
+    facts = durable(file_facts(spark, path))
+    told = facts.select("kind", F.when(F.col("kind") == "csv", F.col("head")).alias("head")).distinct().limit(2).collect()
+    if len(told) != 1:
+        raise ValueError("mixed_bulk_files" if told else "invalid_bulk_header")
+    kind, lines = told[0]["kind"], all_lines(spark, path)
+    hashes = facts.select("file", F.col("sha256").alias("file_sha256"))
+    if kind == "jsonl":
+        rows = parse_bulk_jsonl(lines, "line", wanted, key, ("file",))
+        rows = rows.withColumn("record_error", F.lit(None).cast("string"))
+    else:
+        names, schema, options = _shape(told[0]["head"], key)
+        rows = _guarded(_records(lines, names, schema, options, ("file",)), wanted, key)
+        rows = rows.select(F.col("file").alias("_file"), F.col(f"`{key}`").alias("_key"), *[F.col(f"`{n}`") for n in names])
+        rows = nest_dotted_columns(rows, names, ["_file", "_key"])
+        rows = rows.select(F.col("_file").alias("file"), F.col("_key").alias(key), "record_json", "record_error")
+    rows = assert_unique_keys(rows, key).join(hashes, "file").drop("file")
+    good = F.col("record_error").isNull()
+    wrapped = wrap_bulk(rows, "record_json", F.col("file_sha256"), kind)
+    return wrapped.select(key, F.lit(kind).alias("encoding"), "file_sha256", "record_json", "record_error", F.when(good, F.col("body")).alias("body"))
 
 
 def duplicate_keys(df: DataFrame, key: str = KEY) -> DataFrame:
@@ -171,5 +210,5 @@ def unwrap_bulk(df: DataFrame, body: str = "body") -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every source file, one row per file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("file_sha256"))
+    """SHA-256 of every source file, one row per file; a file is read in pieces, never as one value."""
+    return file_facts(spark, path).select(F.col("file").alias("path"), F.col("sha256").alias("file_sha256"))

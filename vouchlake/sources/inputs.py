@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import gzip
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vouchlake.functions.canon import as_col, computed
 from vouchlake.operators.registry_facts import unquoted
 from vouchlake.operators.windows import numbered
+from .files import all_lines
+from .lines import PLACE
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 EDGES = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
@@ -40,30 +39,6 @@ def parse_input_lines(df: DataFrame, text: str, order: list[str]) -> DataFrame:
 
 def read_inputs(spark: SparkSession, path: str) -> DataFrame:
     """Input files to (input_index, organisation_number); gzip is told by its first bytes."""
-    heads = spark.read.format("binaryFile").load(path).select(
-        "path", (F.substring("content", 1, 2) == F.lit(b"\x1f\x8b")).alias("gz"), "content"
-    )
-    named_gz = F.col("path").endswith(".gz")
-    # Spark opens a gzip file by its name; one without the name is unpacked from its bytes.
-    odd = [r["path"] for r in heads.filter(F.col("gz") & ~named_gz).select("path").collect()]
-    usual = [r["path"] for r in heads.filter(~(F.col("gz") & ~named_gz)).select("path").collect()]
-    parts = []
-    if usual:
-        text = spark.read.text(usual).select(
-            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")
-        )
-        parts.append(text)
-    if odd:
-        body = heads.filter(F.col("path").isin(odd)).select("path", _gunzip("content").alias("body"))
-        lines = body.select("path", F.posexplode(F.split("body", LINE_BREAK)).alias("seq", "value"))
-        parts.append(lines.select("value", F.col("path").alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("seq").cast("bigint").alias("seq")))
-    lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     # Splits of one file are ordered by their offset, lines of a split by their running id.
-    order = ["file", "block", "seq"]
-    rows = parse_input_lines(lines, "value", order)
-    return numbered(rows, [*order, "line_no"], "input_index").select("input_index", "organisation_number")
-
-
-@F.pandas_udf(T.StringType())
-def _gunzip(bodies: pd.Series) -> pd.Series:
-    return bodies.map(lambda b: gzip.decompress(b).decode("utf-8"))
+    rows = parse_input_lines(all_lines(spark, path), "line", PLACE)
+    return numbered(rows, [*PLACE, "line_no"], "input_index").select("input_index", "organisation_number")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from vouchlake.functions import fixed, urls
 from vouchlake.plans import discovery as D, verification as V
 
-from .common import key_sql, org_key, query, sql_list, table
+from .common import key_sql, org_key, query, sql_list, sql_pattern, table
 
 
 def entities(spark, d):
@@ -105,6 +105,52 @@ def _c18(spark, d):
     return D.plan_frontier(rows.select("organisation_number", "p.*"), D.FOLLOW_UPS)
 
 
+HREFS_SQL = """a AS (SELECT page_id AS k, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs FROM pages),
+u AS (SELECT k, unnest(hs) AS h, unnest(range(len(hs))) AS pos FROM a)"""
+DETAIL_SQL = f"NOT (lower(h) = '/' OR regexp_extract(lower(h), '([^/]*)/*$', 1) IN ({sql_list(fixed.UTILITY_TAILS)}) OR regexp_matches(lower(h), '{sql_pattern(fixed.ASSET_PATTERN)}'))"
+STORY_SQL = "CASE " + " ".join(f"WHEN contains(lower(h), '{w}') THEN {i}" for i, w in enumerate(fixed.LINK_WORDS)) + " ELSE -1 END"
+
+
+def page_sites(spark, d):
+    """A site of each given page: a root, a news index with the links of the page's HTML, and for even ids an archive behind it."""
+    p = table(spark, d, "pages").select("page_id", F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)).alias("hrefs"))
+    even, list_of = F.col("page_id") % 2 == 0, lambda *xs: F.array(*[F.lit(x) for x in xs])
+    page = lambda path, links: F.struct(F.lit(path).alias("path"), links.alias("links"))
+    old = F.concat(F.transform("hrefs", lambda h: F.concat(h, F.lit("/old"))), list_of("/news", "/archive/news"))
+    news = F.concat("hrefs", F.when(even, list_of("/archive/news")).otherwise(F.array().cast("array<string>")))
+    pages = F.array(page("/", list_of("/news", "/karriere", "/about")), page("/news", news), page("/alone/news", list_of("/never")), F.when(even, page("/archive/news", old)))
+    rows = p.select(F.col("page_id").cast("string").alias("organisation_number"), F.explode(F.array_compact(pages)).alias("p"))
+    site = F.concat(F.lit("https://p"), "organisation_number", F.lit(".example.com"), "p.path")
+    return rows.select("organisation_number", site.alias("page_url"), (F.col("p.path") == "/").alias("is_root"), "p.links")
+
+
+@query(
+    "c18_frontier_rounds",
+    f"""WITH {HREFS_SQL}, m AS (
+      SELECT k, unnest(['/', '/news', '/karriere', '/about']) AS path, unnest([0, 1, 1, 1]) AS round FROM a
+      UNION ALL SELECT k, h, 2 FROM u WHERE {DETAIL_SQL} UNION ALL SELECT k, '/archive/news', 2 FROM a WHERE k % 2 = 0
+      UNION ALL SELECT k, h || '/old', 3 FROM u WHERE k % 2 = 0)
+    SELECT k::VARCHAR AS organisation_number, 'https://p' || k || '.example.com' || path AS url, min(round)::BIGINT AS round,
+      path IN ('/', '/news', '/archive/news') AS landed FROM m GROUP BY k, path""",
+)
+def _c18_rounds(spark, d):
+    return D.frontier_rounds(page_sites(spark, d))
+
+
+@query(
+    "c18_plan_pages",
+    f"""WITH {HREFS_SQL}, c AS (SELECT k, h AS path, 1 AS phase, {STORY_SQL} AS story, pos FROM u WHERE {DETAIL_SQL}
+      UNION ALL SELECT k, unnest(['/karriere', '/about']), unnest([0, 2]), 0, 0 FROM a),
+    f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY k, path ORDER BY phase, story, pos) = 1)
+    SELECT k::VARCHAR AS organisation_number, row_number() OVER (PARTITION BY k ORDER BY phase, story, pos) AS position, 'https://p' || k || '.example.com' || path AS url FROM f""",
+)
+def _c18_pages(spark, d):
+    """The whole plan, no limit, behind a root and a news index that holds the links of a given page."""
+    landed = page_sites(spark, d).filter(~F.col("page_url").rlike("/(alone|archive)/news$"))
+    links = F.filter("links", lambda h: h != "/archive/news")
+    return D.plan_frontier(landed.withColumn("links", links))
+
+
 def order_links(spark, d):
     o = table(spark, d, "orders")
     return o.select(F.col("o_custkey").cast("string").alias("organisation_number"), F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), (F.col("o_orderkey") % 6).alias("u"))

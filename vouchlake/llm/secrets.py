@@ -73,16 +73,39 @@ READING = 16
 WORD = "^[A-Za-z]*[0-9]{0,2}$"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _pieces(items: Column, use) -> Column:
+    """``use(piece, first index)`` of each piece of about the square root of the items; what grows with a
+    piece's square then grows with the power 1.5 of the items."""
+    size = F.size(items)
+    width = F.greatest(F.ceil(F.sqrt(size)), F.lit(1)).cast("int")
+    heads = F.when(size > 0, F.sequence(F.lit(0), size - 1, width)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(heads, lambda h: use(F.slice(items, h + 1, width), h))
+
+
+def _starts(steps: Column) -> Column:
+    """Where each match begins: gaps and lengths before it added up, within pieces and over them."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
+    step = lambda s, x: F.struct((s["at"] + x["g"] + x["n"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["g"])).alias("starts"))
+    before = lambda parts, j: F.aggregate(F.slice(parts, 1, j), F.lit(0), lambda s, x: s + x["at"])
+    whole = lambda parts: F.transform(parts, lambda p, j: _let(before(parts, j), lambda at: F.transform(p["starts"], lambda x: x + at)))
+    return _let(_pieces(steps, lambda piece, _: F.aggregate(piece, start, step)), lambda parts: F.flatten(whole(parts)))
+
+
 def _places(text: Column, pattern: str, kind: int) -> Column:
     """Matches as (start, kind, end, value): their lengths and those of the gaps between them, added up."""
-    match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(match, F.length)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
-    steps = F.zip_with(F.slice(gaps, 1, F.size(sizes)), sizes, lambda g, n: F.struct(g.alias("g"), n.alias("n")))
-    starts = F.aggregate(steps, start, lambda s, x: F.struct((s["at"] + x["g"] + x["n"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["g"])).alias("starts")))["starts"]
-    placed = F.arrays_zip(starts.alias("start"), match.alias("value"))
-    return F.transform(placed, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))
+    def placed(match):
+        sizes = F.transform(match, F.length)
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(match))
+        steps = F.zip_with(gaps, sizes, lambda g, n: F.struct(g.alias("g"), n.alias("n")))
+        return F.arrays_zip(_let(steps, _starts).alias("start"), match.alias("value"))
+
+    found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))
 
 
 def _when_found(text: Column, pattern: str, value: Column) -> Column:
@@ -110,11 +133,6 @@ def _tail(z: Column) -> Column:
     return F.when(z >= 0, -upper).otherwise(-F.log1p(-F.exp(upper))) / F.lit(2.302585092994046)
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _measures(token: Column, name: Column, alphabet: Column) -> Column:
     """Deviations of the battery under randomness and the evidence against ordinary writing."""
     n = F.length(token).cast("double")
@@ -200,7 +218,14 @@ def _judged(token: Column) -> Column:
 
 def _candidates(text: Column, base: Column) -> Column:
     found = _when_found(text, CANDIDATE, _places(text, CANDIDATE, 3))
-    free = F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    meet = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
+
+    def apart(piece, _):
+        reach = F.struct(F.element_at(piece, 1)["start"].alias("start"), F.element_at(piece, -1)["end"].alias("end"))
+        near = _let(reach, lambda r: F.filter(base, lambda b: meet(b, r)))
+        return _let(near, lambda bs: F.filter(piece, lambda c: ~F.exists(bs, lambda b: meet(b, c))))
+
+    free = _let(found, lambda cs: F.flatten(_pieces(cs, apart)))
 
     def measured(c):
         return F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), _judged(c["value"]).alias("m"))
@@ -250,19 +275,31 @@ def written(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))))
 
 
+def _cut(text: Column, spans: Column, piece: Column, head: Column, mark: str) -> Column:
+    """The text from this piece's first span (from its start, for the first piece) up to the next piece's."""
+    low = F.when(head > 0, F.element_at(piece, 1)["start"]).otherwise(F.lit(0))
+    high = F.coalesce(F.get(spans, head + F.size(piece))["start"], F.length(text))
+    # Spans of earlier pieces may reach into this one.
+    done = F.coalesce(F.array_max(F.transform(F.slice(spans, 1, head), lambda x: x["end"])), F.lit(0))
+    frame = F.struct(low.alias("low"), high.alias("high"), F.greatest(low, done).alias("at"), text.substr(low + 1, high - low).alias("part"))
+
+    def inside(f):
+        between = lambda a, b: f["part"].substr(a - f["low"] + 1, F.greatest(b - a, F.lit(0)))
+        start = F.struct(f["at"].alias("at"), F.lit("").alias("out"))
+        out = lambda s, x: F.when(x["start"] >= s["at"], F.concat(s["out"], between(s["at"], x["start"]), F.lit(mark))).otherwise(s["out"])
+        step = lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), out(s, x).alias("out"))
+        return F.aggregate(piece, start, step, lambda s: F.concat(s["out"], between(s["at"], f["high"])))
+
+    return _let(frame, inside)
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced; overlapping spans count as one. All rows and columns stay."""
     columns = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("text").cast("string").alias("text"))
     rows, _ = stored(_scanned(packed, ["_row", "text"]), "spans")
     rows = _decided(rows)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s, x):
-        skipped = F.when(x["start"] >= s["at"], F.concat(s["out"], F.col("text").substr(s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), skipped.alias("out"))
-
-    cut = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.col("text").substr(s["at"] + 1, F.length("text") - s["at"])))
+    cut = _let(F.col("spans"), lambda spans: F.array_join(_pieces(spans, lambda piece, h: _cut(F.col("text"), spans, piece, h, mark)), ""))
     clean = F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))
     rows = rows.withColumn("_clean", F.explode(F.array(clean)))
     own = {c: F.col(f"_row.`{c}`") for c in columns} | {"text": F.col("_clean")}

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from vouchlake.operators import joins, rollups, windows
+from vouchlake.operators import joins, rollups, walk, windows
 
 
 def hot(spark, n=3000):
@@ -75,3 +75,12 @@ def test_admission_reasons(spark):
     out = windows.admit_requests(df, "id", "src", ["t"], F.col("t") < 9, 5, 3)
     got = {r.id: r.reason for r in out.collect()}
     assert [got[i] for i in range(10)] == [None, None, None, "input_request_budget_exhausted", "input_request_budget_exhausted", None, None, "global_request_budget_exhausted", "global_request_budget_exhausted", "deadline_exhausted"]
+
+
+def test_resolved_nodes_are_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([(1, '{"a":[5,{"b":"x"}]}'), (2, '{"a":7}')], "id long, body string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))  # its size is known, and small
+    claims = spark.createDataFrame([(1, "/a/1/b"), (1, "/a/9"), (2, "/a")], "id long, json_pointer string")
+    out = walk.resolve_pointers(claims, walk.walk_json(docs, "body", ["id"], only_objects=False), ["id"])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.json_pointer, r.resolved_json) for r in out.collect()) == [(1, "/a/1/b", '"x"'), (1, "/a/9", None), (2, "/a", "7")]

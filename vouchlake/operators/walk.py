@@ -215,6 +215,9 @@ def find_objects(df: DataFrame, column: str, keep: list[str], members: dict[str,
 
 
 def resolve_pointers(claims: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """X11: the value each claim's pointer leads to in its own document; NULL when it leads nowhere."""
+    """X11: the value each claim's pointer leads to in its own document; NULL when it leads nowhere.
+
+    Nodes are many times the bytes of the files they were cut from, by which Spark guesses their size, so the join is never a broadcast.
+    """
     found = nodes.select(*keys, F.col("pointer").alias("json_pointer"), F.col("node_json").alias("resolved_json"))
-    return claims.join(found, [*keys, "json_pointer"], "left")
+    return claims.join(found.hint("merge"), [*keys, "json_pointer"], "left")

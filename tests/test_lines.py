@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from vouchlake.sources import inputs
 from vouchlake.sources import bulk, landing
 from vouchlake.sources.lines import quoted_records, read_lines
 
@@ -62,3 +63,10 @@ def test_damage_elsewhere_is_fatal(spark, tmp_path):
     (tmp_path / "journal.jsonl").write_text('{"n": 1}\n{"n": \n{"n": 3}\n')
     with pytest.raises(Exception, match="resume_checkpoint_invalid"):
         landing.read_journal(spark, str(tmp_path)).collect()
+
+
+def test_a_number_before_words_is_a_text(spark):
+    texts = ["4801146876264569 Thing one. To", '"a"] rest', '"a"} rest', '{"organisation_number":"1"} {', "1, 2", '1,"a":2', " 7 ", '{"organisation_number":"8"}', "[1] [2]"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, line string")
+    got = dict(rows.select("id", inputs.input_number("line")).collect())
+    assert [got[i] for i in range(len(texts))] == [*texts[:6], "7", "8", "[1] [2]"]

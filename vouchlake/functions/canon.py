@@ -23,9 +23,20 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(fresh)))
 
 
+def whole_json(text) -> Column:
+    """The VARIANT of a text that is one JSON value and nothing else.
+
+    Spark's parser stops after the first value. What follows it breaks the text in brackets, or the
+    text as a member where it begins by closing the bracket.
+    """
+    text = as_col(text)
+    holds = lambda before, after: F.try_parse_json(F.concat(F.lit(before), text, F.lit(after))).isNotNull()
+    return F.when(holds("[", "]") & holds('{"v":', "}"), F.try_parse_json(text))
+
+
 def canonical_json(text) -> Column:
     """Sorted keys, compact, NULL for anything that is not strict JSON."""
-    return F.to_json(F.try_parse_json(as_col(text)))
+    return F.to_json(whole_json(text))
 
 
 def json_text(value) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vouchlake.functions.canon import as_col, computed
+from vouchlake.functions.canon import as_col, computed, whole_json
 from vouchlake.operators.registry_facts import unquoted
 from vouchlake.operators.windows import numbered
 from .files import all_lines
@@ -17,7 +17,7 @@ EDGES = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 def input_number(line) -> Column:
     """The number a line names: its text, a JSON scalar, or a field of a JSON object."""
     raw = F.regexp_replace(as_col(line), EDGES, "")
-    v = F.try_parse_json(raw)
+    v = whole_json(raw)
     whole = F.to_json(v)
     scalar = lambda j: F.when(j == "null", F.lit("")).when(j == "true", F.lit("True")).when(j == "false", F.lit("False")).otherwise(
         F.coalesce(unquoted(j), j)

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from vouchlake.operators import joins, rollups, walk, windows
+from vouchlake.session import spread
 
 
 def hot(spark, n=3000):
@@ -84,3 +85,8 @@ def test_resolved_nodes_are_never_broadcast(spark, tmp_path):
     out = walk.resolve_pointers(claims, walk.walk_json(docs, "body", ["id"], only_objects=False), ["id"])
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.id, r.json_pointer, r.resolved_json) for r in out.collect()) == [(1, "/a/1/b", '"x"'), (1, "/a/9", None), (2, "/a", "7")]
+
+
+def test_costly_rows_are_dealt_by_their_number(spark):
+    assert spread(spark.range(0, 1000, 1, 8), rows=10).rdd.getNumPartitions() == 100
+    assert spread(spark.range(0, 1000, 1, 8), rows=1000).rdd.getNumPartitions() == 8

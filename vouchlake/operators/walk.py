@@ -18,6 +18,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from vouchlake.functions.canon import computed, pointer_token
 
+#: Levels below the root with a projection each, which copies the row; what lies deeper is walked in one expression.
+UNROLLED = 1
 NO_NODES = "cast(array() as array<struct<block:int,pointer:string,ord:string,node:variant>>)"
 
 
@@ -73,7 +75,7 @@ def schema_nodes(df: DataFrame, json_ld: str = "json_ld", out: str = "nodes") ->
         step = _node(n["block"], F.concat(n["pointer"], F.lit("/@graph")), F.concat(n["ord"], F.lit("/@graph")), graph)
         return F.coalesce(_indexed(n, items), F.when(graph.isNotNull(), F.array(step)), none)
 
-    walked = _levels(df, F.coalesce(roots, none), children, 8, out, F.array_join(json_ld, "")).drop("_deeper")
+    walked = _levels(df, F.coalesce(roots, none), children, UNROLLED, out, F.array_join(json_ld, "")).drop("_deeper")
     return computed(walked, **{out: F.array_sort(F.filter(out, lambda n: F.to_json(n["node"]).startswith("{")), _by_order)})
 
 
@@ -125,7 +127,7 @@ def walk_json(df: DataFrame, column: str, keep: list[str], depth: int | None = N
         return inside if stop is None else F.when(F.coalesce(stop(n["node"]), F.lit(False)), none).otherwise(inside)
 
     whole = depth is None
-    walked = _levels(df.select(*keep, column), F.coalesce(roots, none), children, 12 if whole else depth, "_nodes", F.col(column) if whole else None)
+    walked = _levels(df.select(*keep, column), F.coalesce(roots, none), children, UNROLLED if whole else depth, "_nodes", F.col(column) if whole else None)
     guard = F.when(F.lit(not whole) & (F.col("_deeper") > 0), F.raise_error(F.lit("json_nested_too_deep")).cast("string"))
     rows = walked.withColumn("_guard", guard).filter(F.col("_guard").isNull()).select(*keep, F.explode("_nodes").alias("_n"))
     rows = computed(rows.select(*keep, "_n.pointer", "_n.ord", "_n.node"), node_json=F.to_json("node"))

@@ -38,11 +38,18 @@ def as_claims(df: DataFrame, **columns) -> DataFrame:
 # ---- JSON documents -------------------------------------------------------------------
 
 
+def _texts(nodes: DataFrame, paths) -> tuple[DataFrame, dict[str, Column]]:
+    """The JSON text at each path of ``node``, read once per row instead of once per use."""
+    nodes = computed(nodes, _texts=F.array(*[node_json(F.col("node"), f"$.{p}") for p in paths])).drop("node")
+    return nodes, {p: F.element_at("_texts", i) for i, p in enumerate(paths, 1)}
+
+
 def account_statements(responses: DataFrame, body: str = "body") -> DataFrame:
     """Account records under any wrapper, usable ones only, conflicts removed."""
     nodes = find_objects(responses, body, ["organisation_number", "evidence_id"], {"regnskapsperiode": "{", "virksomhet": "{"}, stop=True)
-    node = F.col("node")
-    at = lambda path: unquoted(node_json(node, f"$.{path}"))
+    names = ["regnskapsperiode.fraDato", "regnskapsperiode.tilDato", "virksomhet.organisasjonsnummer", "regnskapstype", "valuta"]
+    nodes, text = _texts(nodes, [*names, *fixed.ACCOUNT_METRICS.values()])
+    at = lambda path: unquoted(text[path])
     rows = computed(
         nodes,
         period_start=at("regnskapsperiode.fraDato"), period_end=at("regnskapsperiode.tilDato"), owner=at("virksomhet.organisasjonsnummer"),
@@ -54,7 +61,7 @@ def account_statements(responses: DataFrame, body: str = "body") -> DataFrame:
         start.rlike(iso) & end.rlike(iso) & (start.try_cast("date") <= end.try_cast("date")) & F.col("owner").isNotNull()
         & F.col("report_type").isin(*fixed.ACCOUNT_TYPES) & (F.trim("raw_currency") != "") & (F.length("raw_currency") <= 10)
     )
-    amount = lambda path: F.when(node_json(node, f"$.{path}").rlike(r"\A-?[0-9]"), node_json(node, f"$.{path}"))
+    amount = lambda path: F.when(text[path].rlike(r"\A-?[0-9]"), text[path])
     metrics = F.filter(
         F.array(*[F.struct(F.lit(m).alias("metric"), amount(p).alias("amount_json"), F.lit("/" + p.replace(".", "/")).alias("tail")) for m, p in fixed.ACCOUNT_METRICS.items()]),
         lambda m: m["amount_json"].isNotNull(),
@@ -63,7 +70,7 @@ def account_statements(responses: DataFrame, body: str = "body") -> DataFrame:
     print_of = F.sha2(F.to_json(F.struct("period_start", "currency", F.transform("metrics", lambda m: F.struct(m["metric"], m["amount_json"])).alias("m"))), 256)
     rows = computed(rows, _print=print_of)
     keys = ["organisation_number", "evidence_id", "owner", "report_type", "period_end"]
-    kept = drop_conflicts(rows.drop("node"), keys, "_print", ["ord"], last=True)
+    kept = drop_conflicts(rows.drop("_texts"), keys, "_print", ["ord"], last=True)
     return kept.drop("_print", "raw_currency")
 
 
@@ -88,17 +95,18 @@ def extract_financials(responses: DataFrame, body: str = "body") -> DataFrame:
 def extract_financials_v1(responses: DataFrame, body: str = "body") -> DataFrame:
     """Revenue only, last record per end date and type, kept so that old evidence stays checkable."""
     nodes = find_objects(responses, body, ["organisation_number", "evidence_id"], {"regnskapsperiode": "{", "virksomhet": "{"}, stop=True)
-    node = F.col("node")
-    at = lambda path: unquoted(node_json(node, f"$.{path}"))
+    revenue = fixed.ACCOUNT_METRICS["revenue"]
+    nodes, text = _texts(nodes, ["regnskapsperiode.tilDato", "regnskapsperiode.fraDato", "virksomhet.organisasjonsnummer", "regnskapstype", "valuta", revenue])
+    at = lambda path: unquoted(text[path])
     rows = computed(
         nodes,
-        period_end=at("regnskapsperiode.tilDato"), owner=at("virksomhet.organisasjonsnummer"), revenue=node_json(node, "$." + fixed.ACCOUNT_METRICS["revenue"]),
-        report_type=F.coalesce(at("regnskapstype"), F.lit("SELSKAP")), start_json=F.coalesce(node_json(node, "$.regnskapsperiode.fraDato"), F.lit("null")),
-        currency_json=F.coalesce(node_json(node, "$.valuta"), F.lit("null")),
+        period_end=at("regnskapsperiode.tilDato"), owner=at("virksomhet.organisasjonsnummer"), revenue=text[revenue],
+        report_type=F.coalesce(at("regnskapstype"), F.lit("SELSKAP")), start_json=F.coalesce(text["regnskapsperiode.fraDato"], F.lit("null")),
+        currency_json=F.coalesce(text["valuta"], F.lit("null")),
     )
     rows = rows.filter(F.col("period_end").isNotNull() & F.col("owner").isNotNull() & F.col("revenue").rlike(r"\A-?[0-9]"))
     # The wrapper is read from its end, so the earliest record in the document is the last one met.
-    last = keep_first(rows.drop("node"), ["organisation_number", "evidence_id", "period_end", "report_type"], [F.col("ord")])
+    last = keep_first(rows.drop("_texts"), ["organisation_number", "evidence_id", "period_end", "report_type"], [F.col("ord")])
     last = last.filter(F.col("owner") == F.col("organisation_number"))
     value = F.concat(
         F.lit('{"currency":'), "currency_json", F.lit(',"organisation_number":"'), "owner", F.lit('","period_end":"'), "period_end", F.lit('","period_start":'),

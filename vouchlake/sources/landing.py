@@ -8,6 +8,7 @@ from .lines import PLACE, read_lines, with_torn
 from vouchlake.functions import fixed, urls
 from vouchlake.functions.canon import computed
 from vouchlake.functions.keys import is_valid_key
+from vouchlake.session import durable
 
 RESPONSE_COLUMNS = (
     "organisation_number", "source_class", "source_url", "http_status", "error", "body", "retrieved_at", "synthetic",
@@ -30,10 +31,11 @@ def check_manifest(entries: DataFrame, source_limit: int | None = None) -> DataF
 
     Given ``source_limit``, the rows of a company with more sources are faults.
     """
-    e = urls.normalize_urls(entries, "url")
-    counts = e.groupBy("organisation_number").agg(F.count("*").alias("_n"))
-    copies = e.groupBy("organisation_number", "norm_url").agg(F.min("ord").alias("_first"))
-    joined = e.join(counts, "organisation_number").join(copies, ["organisation_number", "norm_url"], "left")
+    # Normal URLs are stored, so that the counts and the rows read them instead of working them out once each.
+    e = durable(urls.normalize_urls(entries, "url"))
+    copies = e.groupBy("organisation_number", "norm_url").agg(F.min("ord").alias("_first"), F.count("*").alias("_rows"))
+    counts = copies.groupBy("organisation_number").agg(F.sum("_rows").alias("_n"))
+    joined = e.join(counts, "organisation_number").join(copies.drop("_rows"), ["organisation_number", "norm_url"], "left")
     over = F.lit(False) if source_limit is None else F.col("_n") > source_limit
     fault = (
         F.when(~is_valid_key("organisation_number") | over, "invalid_legal_source_company_or_limit")

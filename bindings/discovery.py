@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vouchlake.functions import fixed, urls
 from vouchlake.plans import discovery as D, verification as V
+from vouchlake.session import spread
 
 from .common import key_sql, org_key, query, sql_list, sql_pattern, table
 
@@ -98,7 +99,7 @@ FRONTIER_LINKS = {
 )
 def _c18(spark, d):
     """Third of the customers: root only; root and news page; root, news and job page."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("organisation_number"), (F.col("c_custkey") % 3).alias("v"))
+    c = spread(table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("organisation_number"), (F.col("c_custkey") % 3).alias("v")), rows=4_000)
     site = F.concat(F.lit("https://c"), "organisation_number", F.lit(".example.com"))
     page = lambda name, path, at: F.when(F.col("v") >= at, F.struct(F.concat(site, F.lit(path)).alias("page_url"), F.lit(path == "/").alias("is_root"), F.array(*[F.lit(x) for x in FRONTIER_LINKS[name]]).alias("links")))
     rows = c.select("organisation_number", F.explode(F.filter(F.array(page("root", "/", 0), page("news", "/news", 1), page("jobs", "/karriere", 2)), lambda x: x.isNotNull())).alias("p"))

@@ -1,14 +1,14 @@
-"""C19 over an index: postings of three-letter pieces find the few profiles that can match, which are then verified."""
+"""C19 over an index: postings of three-letter pieces find the few blocks of profiles that can match, whose texts are then verified."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vouchlake.functions.canon import computed
-
 #: Parts of the postings by hash of the piece; a search reads those of its own pieces.
 PARTS = 64
 PIECE = 3
+#: Texts of one block; it divides 2^33, the distance of two tasks' first ids, so that no block crosses tasks.
+BLOCK = 64
 
 
 def _part(piece) -> Column:
@@ -21,34 +21,35 @@ def searched_text(texts: list[str], values: str | None = None) -> Column:
     return F.lower(F.concat_ws(" ", *cells, *([F.array_join(values, " ")] if values else [])))
 
 
-def _with_pieces(df: DataFrame, text: str) -> DataFrame:
-    """Add ``pieces``; the letters are taken apart once, before the pieces are cut from them."""
-    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    cut = F.transform(F.sequence(F.lit(1), F.size("_letters") - PIECE + 1), lambda i: F.array_join(F.slice("_letters", i, PIECE), ""))
-    return computed(computed(df, _letters=letters), pieces=F.when(F.size("_letters") >= PIECE, F.array_distinct(cut))).drop("_letters")
+def _pieces(text) -> Column:
+    """All pieces of a text, one from each place; empty where it is shorter than a piece."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{PIECE}}}))"), F.lit(1))
 
 
 def build_index(profiles: DataFrame, key: str, text: Column, path: str) -> None:
-    """Write the texts by key, and the keys of every piece: sorted by piece inside its part, so that a part's file is read in places only."""
-    rows = profiles.select(F.col(key).alias("key"), text.alias("text"))
+    """Write the texts by key and block, and the blocks of every piece: sorted by piece inside its part, so that a part's file is read in places only.
+
+    A block is ``BLOCK`` texts in a row of one task. Pieces that its texts share are one posting, which the task that reads the block finds before anything is shuffled.
+    """
+    rows = profiles.select(F.col(key).alias("key"), text.alias("text")).withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK))
     rows.write.mode("overwrite").parquet(f"{path}/texts")
     stored = profiles.sparkSession.read.parquet(f"{path}/texts")
-    postings = _with_pieces(stored, "text").select("key", F.explode("pieces").alias("piece")).withColumn("part", _part("piece"))
-    postings.repartition(PARTS, "part").sortWithinPartitions("part", "piece", "key").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    postings = stored.select("block", F.explode(_pieces("text")).alias("piece")).distinct().withColumn("part", _part("piece"))
+    postings.repartition(PARTS, "part").sortWithinPartitions("part", "piece", "block").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
 
 
 def search_index(spark: SparkSession, path: str, query: str) -> DataFrame:
     """Keys of the profiles whose text holds the query: the same rows as a scan of all texts.
 
-    A query of fewer letters than a piece has no postings and scans.
+    Texts of blocks that hold every piece of the query are verified. A query of fewer letters than a piece has no postings and scans.
     """
-    asked = _with_pieces(spark.range(1).select(F.lower(F.lit(query.strip())).alias("q")), "q")
+    asked = spark.range(1).select(F.lower(F.lit(query.strip())).alias("q")).withColumn("pieces", F.array_distinct(_pieces("q")))
     asked = asked.select("q", F.transform("pieces", lambda p: F.struct(p.alias("piece"), _part(p).alias("part"))).alias("pieces")).first()
     texts = spark.read.parquet(f"{path}/texts")
     found = texts
     if asked["pieces"]:
         pieces, parts = [p["piece"] for p in asked["pieces"]], sorted({p["part"] for p in asked["pieces"]})
         postings = spark.read.parquet(f"{path}/postings").filter(F.col("part").isin(parts) & F.col("piece").isin(pieces))
-        every = postings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= len(pieces))
-        found = texts.join(every, "key", "left_semi")
+        every = postings.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") >= len(pieces))
+        found = texts.join(every, "block", "left_semi")
     return found.filter(F.contains("text", F.lit(asked["q"]))).select("key")

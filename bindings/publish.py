@@ -124,7 +124,7 @@ def _c14(spark, d):
         .unionByName(claim(st.filter("o_custkey % 2 = 0"), "financials", money("annual_result", F.floor(F.col("cents") / 10)), y))
     )
     claims = durable(claims)  # a stored claim table; the summary reads it several times
-    availability = RF.baseline_availability(responses).withColumn("ord", F.col("field"))
+    availability = RF.baseline_availability(None, facts).withColumn("ord", F.col("field"))
     changes = o.select("organisation_number", F.lit("registered_address").alias("field"), F.lit("changed").alias("kind"), F.col("o_orderkey").alias("ord"))
     return S.summaries(names, claims, availability, changes)
 

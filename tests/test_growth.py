@@ -8,6 +8,7 @@ from bindings import discovery as bound
 from vouchlake.operators import joins
 from vouchlake.plans import search, summary
 from vouchlake.sources import landing
+from vouchlake.streaming import feeds, history
 
 
 def plan(df):
@@ -58,3 +59,13 @@ def test_latest_statement_meets_the_periods_that_j7_pairs(spark):
     for org, (amount, prior) in want.items():
         tail = "; no comparable prior period was available" if prior is None else f"{abs((amount - prior) / prior * 100):.1f}% year over year"
         assert told[org].startswith(f"Revenue was {amount} ") and told[org].endswith(tail), (org, amount, prior, told[org])
+
+
+def test_only_first_rows_of_keys_reach_python_state(spark, tmp_path):
+    """One row per key and batch, over however many days the key's rows lie."""
+    rows = [(i, f"k{i % 3}", i * 86_400, i % 2) for i in range(30)] + [(99, "end", 9_000_000, 0)]
+    df = spark.createDataFrame(rows, "id long, k string, s long, v long").select("id", "k", F.timestamp_seconds("s").alias("ts"), "v")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    history.stream_changes(feeds.open_feed(spark, f"{tmp_path}/in"), ["k"], ["ts", "id"], "v", f"{tmp_path}/out", "ts", "1 day", "1 day")
+    assert spark.read.parquet(f"{tmp_path}/out/first/*").count() == 3
+    assert history.read_changes(spark, f"{tmp_path}/out").count() == 30

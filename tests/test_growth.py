@@ -63,7 +63,7 @@ def test_latest_statement_meets_the_periods_that_j7_pairs(spark):
 
 def test_only_first_rows_of_keys_reach_python_state(spark, tmp_path):
     """One row per key and batch, over however many days the key's rows lie."""
-    rows = [(i, f"k{i % 3}", i * 86_400, i % 2) for i in range(30)] + [(99, "end", 9_000_000, 0)]
+    rows = [(i, f"k{i % 3}", (i + 1) * 86_400, i % 2) for i in range(30)] + [(99, "end", 9_000_000, 0)]
     df = spark.createDataFrame(rows, "id long, k string, s long, v long").select("id", "k", F.timestamp_seconds("s").alias("ts"), "v")
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     history.stream_changes(feeds.open_feed(spark, f"{tmp_path}/in"), ["k"], ["ts", "id"], "v", f"{tmp_path}/out", "ts", "1 day", "1 day")
